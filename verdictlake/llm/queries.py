@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, permutation_index, url_cascade
+from . import decision_list, line_dedup, packing, permutation_index, url_cascade
 from .common import table
 
 
@@ -15,6 +15,16 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_line_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation_index.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -26,8 +36,8 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_cascade, op8_permutation_index, op10_decision_lists)}
+    return {f.__name__: f for f in (op3_url_cascade, op5_line_sketches, op6_packing, op8_permutation_index, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_cascade": url_cascade.oracle_sql()}
+    return {"op3_url_cascade": url_cascade.oracle_sql(), "op5_line_sketches": line_dedup.oracle_sql()}
