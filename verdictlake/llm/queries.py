@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, line_dedup, packing, permutation_index, url_cascade
+from . import decision_list, line_dedup, packing, permutation_index, url_cascade, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(spark, warc.archive(table(spark, sf_dir, "pages")))
+
+
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return permutation_index.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
@@ -36,8 +40,8 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_cascade, op5_line_sketches, op6_packing, op8_permutation_index, op10_decision_lists)}
+    return {f.__name__: f for f in (op3_url_cascade, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_cascade": url_cascade.oracle_sql(), "op5_line_sketches": line_dedup.oracle_sql()}
+    return {"op3_url_cascade": url_cascade.oracle_sql(), "op5_line_sketches": line_dedup.oracle_sql(), "op7_warc": warc.ORACLE_SQL}
