@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, line_dedup, packing, permutation_index, url_cascade, warc
+from . import byte_bpe, decision_list, line_dedup, packing, permutation_index, url_cascade, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_line_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     text = F.coalesce("text", F.lit(""))
@@ -40,7 +44,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_cascade, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
+    return {f.__name__: f for f in (op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
