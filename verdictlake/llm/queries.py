@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, line_dedup, packing, permutation_index, url_cascade, warc
+from . import byte_bpe, decision_list, line_dedup, near_dedup, packing, permutation_index, url_cascade, warc
 from .common import table
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -44,7 +48,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
+    return {f.__name__: f for f in (op1_hyperminhash, op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
