@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, line_dedup, near_dedup, packing, permutation_index, url_cascade, warc
+from . import byte_bpe, decision_list, line_dedup, near_dedup, packing, permutation_index, sanitise, url_cascade, warc
 from .common import table
 
 
@@ -42,13 +42,17 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op9_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hyperminhash, op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op10_decision_lists)}
+    return {f.__name__: f for f in (op1_hyperminhash, op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op9_sanitise, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
