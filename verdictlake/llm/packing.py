@@ -48,8 +48,6 @@ class ChunkIds(dict):
         self.encode = Tokenizer.from_file(path).encode_batch_fast
 
     def add(self, chunks: list[bytes]) -> None:
-        if len(self) + len(chunks) > self.LIMIT:
-            self.clear()
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
             for c, e in zip(part, self.encode([c.decode() for c in part], add_special_tokens=False), strict=True):
@@ -57,6 +55,8 @@ class ChunkIds(dict):
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text."""
+        if len(self) > self.LIMIT:
+            self.clear()
         split = [(t or b"").split() for t in texts]
         if new := list({c for words in split for c in words if c not in self}):
             self.add(new)
