@@ -15,7 +15,10 @@ rows are packed once each; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -35,41 +38,71 @@ class ChunkIds(dict):
     """Ids, as little-endian 16-bit bytes, of runs of text between ASCII white space.
 
     The vocabulary's pattern drops white space and never matches across it, so a
-    text's ids are those of its runs in order. Kept while there are few enough.
+    text's ids are those of its runs in order. Two generations of bounded size are kept.
     """
 
-    LIMIT = 300_000
+    LIMIT = 400_000
+    #: Runs of these characters only are cut here, as the vocabulary's own pattern would cut them once in lower case; all others are left to the library.
+    PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+    CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-
-    def add(self, chunks: list[bytes]) -> None:
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for c, e in zip(part, self.encode([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u2").tobytes()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        one = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = str.maketrans({c: one(c)[0][0] for c in map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x100)))})
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def add(self, chunks: set[bytes]) -> None:
+        pieces, old = self.pieces, self.old
+        if len(pieces) > self.LIMIT:
+            pieces.clear()
+        for c in chunks:
+            if c in old:
+                self[c] = old[c]
+                continue
+            text = c.decode()
+            if self.PLAIN(text) and not ("<|" in text and any(s in text for s in self.special)):
+                ids = []
+                for p in self.CUT(text.lower()):
+                    x = pieces.get(p)
+                    if x is None:
+                        x = pieces[p] = array("H", [t.id for t in self.model(p if p.isascii() else p.translate(self.spelt))]).tobytes()
+                    ids.append(x)
+                self[c] = b"".join(ids)
+            else:
+                self[c] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text."""
         if len(self) > self.LIMIT:
+            self.old = dict(self)
             self.clear()
         split = [(t or b"").split() for t in texts]
-        if new := list({c for words in split for c in words if c not in self}):
-            self.add(new)
+        self.add(set().union(*split).difference(self))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+@cache
+def chunk_ids(path: str) -> ChunkIds:
+    """One for each worker process, which serves many tasks."""
+    return ChunkIds(path)
+
+
 def encoded(docs: DataFrame, *, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
     """(id, part, start, ids): ids as 16-bit bytes, ``start`` counted inside the partition."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches):
-        ids_of, part, start = ChunkIds(path), TaskContext.get().partitionId(), 0
+        ids_of, part, start = chunk_ids(path), TaskContext.get().partitionId(), 0
         for b in small_batches(batches, "text", 1 << 20):
             ids = [x + end for x in ids_of.of(as_bytes(b.column(1)))]
             ends = start + np.cumsum([len(x) // 2 for x in ids])
