@@ -3,10 +3,10 @@
 1. Every text is cut into pre-tokens. A block - a bounded stretch of one input
    partition - numbers its distinct words and writes each text as the sequence
    of its words' numbers: the positions.
-2. The blocks' words are made distinct over the whole corpus by a shuffle, and
-   each is encoded once; its ids are decoded by the token-byte table.
-3. Ids join back to the blocks' words by another shuffle, and each block puts its
-   texts together by position.
+2. The blocks' words are dealt by hash over the whole corpus, packed by block and
+   bucket; a bucket encodes each of its distinct words once.
+3. Ids join back to the blocks' words by another shuffle, words of ids are decoded
+   by the token-byte table, and each block puts its texts together by position.
 
 Texts themselves are never shuffled: only packed numbers are, once, and both
 branches read that one exchange. A word that is in every text meets as one row
@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import pickle
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -56,12 +58,14 @@ def encoding(path: str) -> tiktoken.Encoding:
 class Splitter:
     """Numbers the distinct pre-tokens of a block and writes texts as their numbers.
 
-    Where a text has no two spaces in a row, the pattern's matches in it are those
-    in its pieces cut before each space, so numbers of pieces seen before are reused.
+    Where every space of a text stands before something that is not white space, the
+    pattern's matches are those in its pieces cut before each space, so the numbers
+    of pieces seen before are reused.
     """
 
     def __init__(self) -> None:
         self.find = regex.compile(PATTERN).findall
+        self.gap = re.compile(rf" (?:[{_SPACE}]|\Z)").search
         self.numbers: dict[str, int] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -71,7 +75,7 @@ class Splitter:
 
     def of(self, text: str) -> bytes:
         """Little-endian 32-bit numbers of the text's pre-tokens in order."""
-        if "  " in text:
+        if self.gap(text):
             return self._of(text)
         first, *rest = text.split(" ")
         pieces = self.pieces
@@ -127,20 +131,42 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "block long, packed binary")
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)) if words else b""
+
+
+def _unpack_words(packed: bytes, n: int) -> list[bytes]:
+    data = zstandard.decompress(packed)
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n)) + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
+
+
+def _dealt(words: list[bytes], buckets: int) -> dict[int, list[int]]:
+    """The numbers of a block's words by the bucket that encodes them."""
+    of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(buckets + 1))
+    return {k: order[lo:hi].tolist() for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo}
+
+
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, number, ids): rows come sorted by word, so each distinct word is encoded once."""
+    """(block, bucket, ids): a bucket's rows come together, and each of its distinct words is encoded once."""
 
     def encode(batches):
-        single, last, ids = encoding(path)._core_bpe.encode_single_piece, None, b""
+        single, now, known = encoding(path)._core_bpe.encode_single_piece, None, {}
         for b in batches:
             out = []
-            for w in b.column(0).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(single(w), "<u2").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())], ["block", "number", "ids"])
+            for bucket, n, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                mine = _unpack_words(packed, n)
+                for w in mine:
+                    if w not in known:
+                        known[w] = np.array(single(w), "<u2").tobytes()
+                out.append(_pack_words([known[w] for w in mine]))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
-    return words.mapInArrow(encode, "block long, number int, ids binary")
+    return words.mapInArrow(encode, "block long, bucket int, ids binary")
 
 
 def encode_and_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digests: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -154,30 +180,32 @@ def encode_and_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for b in batches:
             for block, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = _words_of(packed)
-                for i in range(0, len(words), 10_000):
-                    part = words[i : i + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), block), pa.int64()), pa.array(np.arange(i, i + len(part)), pa.int32())], ["word", "block", "number"])
+                rows = [(k, block, len(at), _pack_words([words[i] for i in at])) for k, at in _dealt(words, n).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "block", "n", "words"]) if rows else empty
 
-    words = blocks.mapInArrow(list_words, "word binary, block long, number int").repartition(n, "word").sortWithinPartitions("word")
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary())], ["bucket", "block", "n", "words"])
+    words = blocks.mapInArrow(list_words, "bucket int, block long, n int, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     types = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.binary()]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         table = {v: k for k, v in load_ranks(path).items()}
-        ids, lengths, planes, words, _ = pickle.loads(left.column("packed")[0].as_py())
-        numbers = _unpack_numbers(planes)
-        of = [b""] * right.num_rows
-        for i, x in zip(right.column("number").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            of[i] = x
+        packed = left.column("packed")[0].as_py()
+        ids, lengths, planes, _, _ = pickle.loads(packed)
+        numbers, words = _unpack_numbers(planes), _words_of(packed)
+        of, dealt = [b""] * len(words), _dealt(words, n)
+        for k, x in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            for i, w in zip(dealt[k], _unpack_words(x, len(dealt[k])), strict=True):
+                of[i] = w
         tokens = [np.frombuffer(x, "<u2").tolist() for x in of]
         counts = np.array([len(t) for t in tokens], np.int64)
         plain = [b"".join(map(table.__getitem__, t)) for t in tokens]
         told = [b"".join(b" %d" % i for i in t) for t in tokens] if digests else None
         rows: list[list] = [[], [], []]
         at = 0
-        for n in lengths:
-            mine = numbers[at : at + n]
-            at += n
+        for m in lengths:
+            mine = numbers[at : at + m]
+            at += m
             each = mine.tolist()
             rows[0].append(int(counts[mine].sum()))
             decoded = b"".join([plain[i] for i in each])
