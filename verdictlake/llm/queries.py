@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decision_list, line_dedup, near_dedup, packing, permutation_index, sanitise, url_cascade, warc
+from . import byte_bpe, crf_language, decision_list, line_dedup, near_dedup, packing, permutation_index, sanitise, url_cascade, warc
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_language.fit(docs.where(~crf_language.held_out("doc_id")))
+    return crf_language.identify(docs, model).select("doc_id", F.coalesce(crf_language.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -52,7 +58,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hyperminhash, op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op9_sanitise, op10_decision_lists)}
+    return {f.__name__: f for f in (op1_hyperminhash, op2_crf_language, op3_url_cascade, op4_byte_bpe, op5_line_sketches, op6_packing, op7_warc, op8_permutation_index, op9_sanitise, op10_decision_lists)}
 
 
 def oracle_sql() -> dict[str, str]:
