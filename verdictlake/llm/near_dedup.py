@@ -8,10 +8,10 @@
 3. Pairs pass if their sizes and the collision-corrected similarity of their
    registers allow the threshold, and count only once the full sets confirm them.
 4. Where a bucket still holds more than one component, its members of different
-   components are compared in blocks of bounded size, and what passes is
-   confirmed likewise. Pairs in one component need no comparison, so no bucket
-   has all its pairs made, and no link between components is lost to a bucket's
-   size.
+   components are compared in blocks of bounded size: registers against registers,
+   then full sets against full sets, a list of partners in one row. Pairs in one
+   component need no comparison and no row holds a single pair, so no bucket has
+   its pairs made, and no link between components is lost to a bucket's size.
 
 At similarity 0.8 a pair shares no bucket with a chance of 5e-8.
 
@@ -37,6 +37,7 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 MANTISSA = 10
 BLOCK = 512
+PLACE = 256
 #: Pairs up to this number are sent to every task (16 bytes each); more are joined by a shuffle.
 MAX_SENT = 1 << 20
 SLACK = 5.0
@@ -156,31 +157,99 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return stage(met.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), "links")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs between components inside the buckets of ``rows`` (band, key, id, c, n, bands, size), block against block."""
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Plausible partners in other components, bucket by bucket and block against block.
+
+    ``rows``: (band, key, size, id, c, cs, p, pb, n, bands). Out: (x, p, pb, ys, cs), the partners of x in one place,
+    with their components; x is of the smaller component. A pair counts in its first common band only.
+    """
     kind = rows.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["id"].dataType)
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", count).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id", "c", "n", "bands")
+    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "id", "c", "cs", "p", "pb", "n", "bands")
     floor = least_estimate(percent / 100)
 
     def run(group: pa.Table) -> pa.Table:
-        ids, c, n, mine = group.column("id").to_numpy(), group.column("c").to_numpy(), group.column("n").to_numpy(), group.column("mine").to_numpy()
+        ids, c, cs, n, mine, p, pb = (group.column(k).to_numpy() for k in ("id", "c", "cs", "n", "mine", "p", "pb"))
         r = _flat_registers(group.column("bands").combine_chunks())
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        a, b = [], []
+        keys = r.view(np.int64)
+        band, b0, b1 = (group.column(k)[0].as_py() for k in ("band", "b0", "b1"))
+        left, right = np.flatnonzero(mine == b0), np.flatnonzero(mine == b1)
+        pairs = []
         for i in left:
-            j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])) & ((ids[right] > ids[i]) if p == q else True)]
+            j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            j = j[ids[j] > ids[i]] if b0 == b1 else j
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
             if len(j):
                 j = j[corrected_jaccard((r[j] == r[i]).sum(1), np.minimum(n[j], n[i])) >= floor]
-                a.append(np.full(len(j), ids[i])), b.append(ids[j])
-        cat = lambda x: pa.array(np.concatenate(x) if x else [], id_type)
-        return pa.table({"a": cat(a), "b": cat(b)})
+                own = (cs[i] < cs[j]) | ((cs[i] == cs[j]) & (c[i] < c[j]))
+                pairs.append(np.stack([np.where(own, i, j), np.where(own, j, i)], 1))
+        at = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        at = at[np.lexsort((at[:, 1], pb[at[:, 1]], p[at[:, 1]], at[:, 0]))]
+        x, y = at[:, 0], at[:, 1]
+        new = np.ones(len(at), bool)
+        new[1:] = (x[1:] != x[:-1]) | (p[y[1:]] != p[y[:-1]]) | (pb[y[1:]] != pb[y[:-1]])
+        cut = np.append(np.flatnonzero(new), len(at)).astype(np.int32)
+        lists = lambda v: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v, id_type))
+        first = cut[:-1]
+        return pa.table({"x": pa.array(ids[x[first]], id_type), "p": pa.array(p[y[first]], id_type), "pb": pa.array(pb[y[first]], pa.int32()), "ys": lists(ids[y]), "cs": lists(c[y])})
+
+    return dealt.groupBy("band", "key", "b0", "b1").applyInArrow(run, f"x {kind}, p {kind}, pb int, ys array<{kind}>, cs array<{kind}>")
+
+
+def _links_across(shared: DataFrame, labelled: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components that share a bucket, one at least wherever there are any.
+
+    Documents have a place by the least hub they met, in blocks of bounded size, so that a group of near copies fills
+    few blocks; a row's candidates in a block meet that block's sets, never one pair a row.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["id"].dataType)
+    mixed = stage(labelled.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("band", "key"), "mixed")
+    rest = stage(labelled.join(mixed, ["band", "key"]), "rest")
+    place = stage(rest.select("id", "c").distinct().join(shared.groupBy("id").agg(F.min("hub").alias("p")), "id"), "place")
+    sizes = stage(place.groupBy("c").agg(F.count("*").alias("cs")), "component-sizes")
+    room = stage(place.groupBy("p").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")), "rooms")
+    place = stage(place.join(sizes, "c").join(room, "p").select("id", "c", "cs", "p", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("pb")), "places")
+    found = stage(_candidates(rest.select("band", "key", "size", "id").join(place, "id").join(reps, "id"), percent), "candidates")
+    parts = stage(found.groupBy("p", "pb").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("xn")), "parts")
+    asked = found.join(parts, ["p", "pb"]).withColumn("xs", F.pmod(F.xxhash64("x", F.lit(5)), F.col("xn")).cast("int")).drop("xn")
+    held = place.select("id", "p", "pb").join(parts, ["p", "pb"]).withColumn("xs", F.explode(F.sequence(F.lit(0), F.col("xn") - 1))).drop("xn")
+    needed = stage(held.select("id").unionByName(found.select(F.col("x").alias("id"))).distinct().withColumnRenamed("id", "_id"), "needed")
+    sent = needed.count() <= MAX_SENT
+    texts = docs.join(F.broadcast(needed) if sent else needed.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
 
-    return dealt.groupBy("band", "key", "p", "q").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    def sets(batches):
+        hashes = WordHash()
+        for b in small_batches(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, size, hashes).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["id", "s"])
+
+    made = stage(texts.select("id", "text").mapInArrow(sets, f"id {kind}, s binary"), "sets")
+    asked = asked.join(made.select(F.col("id").alias("x"), "s"), "x").select(F.col("p").alias("qp"), F.col("pb").alias("qpb"), F.col("xs").alias("qxs"), F.col("x").alias("qx"), F.col("s").alias("qs"), F.col("ys").alias("qys"), F.col("cs").alias("qcs"))
+    held = held.join(made, "id")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        own: dict = {}
+        for y, s in zip(left.column("id").to_pylist(), left.column("s").to_pylist(), strict=True):
+            own.setdefault(y, []).append(np.frombuffer(s, np.uint64))
+        a, b = [], []
+        for x, s, ys, cs in zip(*(right.column(k).to_pylist() for k in ("qx", "qs", "qys", "qcs")), strict=True):
+            s, done = np.frombuffer(s, np.uint64), set()
+            for y, c in zip(ys, cs, strict=True):
+                if c in done:
+                    continue
+                for t in own.get(y, ()):
+                    both = np.concatenate([s, t])
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        a.append(x), b.append(y), done.add(c)
+                        break
+        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
+
+    held = held.select(*(F.col(k).alias(k) for k in ("p", "pb", "xs", "id", "s")))
+    return stage(held.groupBy("p", "pb", "xs").cogroup(asked.groupBy("qp", "qpb", "qxs")).applyInArrow(compare, f"a {kind}, b {kind}").distinct(), "links-across")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -201,9 +270,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     components = connected_components(edge(links))
     lab = lambda x, c: x.join(components.select(F.col("id").alias("_i"), "component"), F.col(c) == F.col("_i"), "left").withColumn("c", F.coalesce("component", c)).drop("_i", "component")
     labelled = stage(lab(shared.select("band", "key", "id", "size"), "id"), "labelled")
-    mixed = stage(labelled.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("band", "key"), "mixed")
-    rest = labelled.join(mixed, ["band", "key"]).join(reps, "id")
-    more = _confirmed(_across(rest, percent), texts, shingle, percent)
+    more = _links_across(shared, labelled, reps, texts, shingle, percent)
     if not more.isEmpty():
         components = connected_components(edge(links.unionByName(more)))
     found = rows.drop("bands").join(classes.drop("bands"), ["n", "c1", "c2"], "left")
