@@ -299,3 +299,20 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + ", word_langs array<string>" * word_labels
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``; without a model's languages all rows stay."""
+    if not model.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        label = Labeller(model)
+        for b in small_batches(batches, text_col, 1 << 20):
+            scores, lengths = label.of(as_bytes(b.column(text_col)))
+            sums = expected_words(scores, lengths, model.transitions)
+            yield b.filter(pa.array((lengths > 0) & (sums.max(1) >= min_score * lengths)))
+
+    return docs.mapInArrow(run, docs.schema)

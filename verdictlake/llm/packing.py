@@ -129,7 +129,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
     def cut(batches):
         for b in batches:
-            rows: list[list] = [[] for _ in names]
+            rows: list[list] = [[] for _ in names[:7]]
+            pieces = []
             for doc, part, start, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(ids, "<u2").astype("<u4")
                 at = shared.value[part] + start
@@ -137,11 +138,15 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
                 while done < len(ids):
                     offset = (at + done) % window
                     piece = ids[done : done + window - offset]
-                    for to, v in zip(rows, (doc, done, len(piece), zlib.crc32(piece.tobytes()), len(ids), (at + done) // window, offset, *([piece.tolist()] if with_ids else ())), strict=True):
+                    for to, v in zip(rows, (doc, done, len(piece), zlib.crc32(piece.tobytes()), len(ids), (at + done) // window, offset), strict=True):
                         to.append(v)
+                    pieces.append(piece)
                     done += len(piece)
-            types = [b.schema.field(0).type, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names)
+            arrays = [pa.array(r, t) for r, t in zip(rows, [b.schema.field(0).type, *[pa.int64()] * 6], strict=True)]
+            if with_ids:
+                edges = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return kept.select("id", "part", "start", "ids").mapInArrow(cut, schema)
