@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import core, records
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return core.Q | records.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return core.SQL | records.SQL
