@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CLIP = 240
 NO_SCORE = "n/a (no scoreable mutants)"
@@ -88,7 +89,7 @@ def is_generated(source: Column) -> Column:
     return has("Code generated") & has("DO NOT EDIT")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def one_decimal(x: pd.Series) -> pd.Series:
     """One decimal of the exact binary value, halves to even; a row or two for each report."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.1f}")
