@@ -215,3 +215,13 @@ def unified_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["conv_id", "turn", "after"])
 
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInArrow(run, "conv_id long, turn long, after string")
+
+
+@query("""SELECT s.p_partkey || '.go' AS file, rule_id, n AS start_line, o AS original, r AS replacement
+FROM part s, (VALUES ('BOUNDARY', 3, '<', '<='), ('BOOL-LITERAL', 4, 'true', 'false'), ('ARITHMETIC', 6, '+', '-')) AS m(rule_id, n, o, r)""")
+def discover_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.discover import discover
+
+    body = F.concat(F.lit("package p\nfunc f(a, b int) bool { // "), "p_name", F.lit("\n\tif a < "), F.col("p_size").cast("string"), F.lit(" {\n\t\treturn true\n\t}\n\treturn g(a + b)\n}\n"))
+    sources = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), body.alias("source"))
+    return discover(sources, families=("boundary", "boolean", "arithmetic")).select("file", "rule_id", "start_line", "original", "replacement")
