@@ -64,20 +64,20 @@ def without_positions(text: Column, removed: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with the boilerplate lines removed, and the columns ``_n_lines`` (lines with a word) and ``_n_removed``."""
+    """``docs`` with the boilerplate lines removed, and the columns ``__vl_n_lines`` (lines with a word) and ``__vl_n_removed``."""
     held = stage(boilerplate_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, lg_k=lg_k), "boilerplate")
     lines = _exploded(docs, id_col, text_col, site_col)
     first = F.struct(F.col("id"), F.col("th"), F.col("pos"))
     cut = (
         lines.join(held, ["k1", "k2"]).where(~first.eqNullSafe(F.col("first")))
-        .groupBy(F.col("id").alias("_cut_id"), F.col("th").alias("_cut_th")).agg(F.sort_array(F.collect_set("pos")).alias("_cut"))
+        .groupBy(F.col("id").alias("__vl_cut_id"), F.col("th").alias("__vl_cut_th")).agg(F.sort_array(F.collect_set("pos")).alias("__vl_cut"))
     )
     text = F.col(text_col)
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.xxhash64(text) == F.col("_cut_th")), "left")
+    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("__vl_cut_id")) & (F.xxhash64(text) == F.col("__vl_cut_th")), "left")
     n_lines = F.coalesce(F.size(F.filter(_lines(text), has_word)), F.lit(0))
-    kept = F.when(F.col("_cut").isNull(), text).otherwise(without_positions(text, F.col("_cut")))
+    kept = F.when(F.col("__vl_cut").isNull(), text).otherwise(without_positions(text, F.col("__vl_cut")))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, n_lines.cast("long").alias("_n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("_n_removed"))
+    return out.select(*columns, n_lines.cast("long").alias("__vl_n_lines"), F.coalesce(F.size("__vl_cut"), F.lit(0)).cast("long").alias("__vl_n_removed"))
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

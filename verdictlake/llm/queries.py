@@ -32,7 +32,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     text = F.coalesce("text", F.lit(""))
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text, 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.col("__vl_n_lines").alias("n_lines"), F.col("__vl_n_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_kept"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

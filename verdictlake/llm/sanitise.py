@@ -139,14 +139,14 @@ def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclo
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_contexts: int, disclosure: float) -> DataFrame:
-    """``docs`` with ``_base`` and ``_terms``, arrays of spans; term spans do not overlap base spans."""
+    """``docs`` with ``__vl_base`` and ``__vl_terms``, arrays of spans; term spans do not overlap base spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     told = revealing_terms(docs.select(F.col(id_col).alias("id"), text.alias("text")), min_contexts=min_contexts, disclosure=disclosure)
-    rows = docs.withColumn("_base", base_spans(text)).join(told.select(F.col("id").alias("_id"), F.col("terms").alias("_told")), F.col(id_col) == F.col("_id"), "left")
+    rows = docs.withColumn("__vl_base", base_spans(text)).join(told.select(F.col("id").alias("__vl_id"), F.col("terms").alias("__vl_told")), F.col(id_col) == F.col("__vl_id"), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_told", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return rows.withColumn("_terms", F.when(F.col("_told").isNull(), none).otherwise(F.filter(_found(text, pattern, 4), apart))).drop("_id", "_told")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("__vl_told", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    apart = lambda s: ~F.exists("__vl_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return rows.withColumn("__vl_terms", F.when(F.col("__vl_told").isNull(), none).otherwise(F.filter(_found(text, pattern, 4), apart))).drop("__vl_id", "__vl_told")
 
 
 def _told(spans: Column) -> Column:
@@ -157,16 +157,16 @@ def _told(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
     rows = _with_spans(docs.select(id_col, text_col), id_col, text_col, min_contexts, disclosure)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
+    count = lambda k: F.size(F.filter("__vl_base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return rows.select(id_col, *counts, F.sha2(_told(F.col("_base")), 256).alias("base_sha256"), _told(F.sort_array(F.concat("_base", "_terms"))).alias("spans"))
+    return rows.select(id_col, *counts, F.sha2(_told(F.col("__vl_base")), 256).alias("base_sha256"), _told(F.sort_array(F.concat("__vl_base", "__vl_terms"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with entities generalised to ``<EMAIL>``, ``<IP>``, ``<CARD>``, ``<PHONE>`` and revealing terms removed (``<TERM>``). Of overlapping spans the first by start gives the tag and the text up to the end of the last goes."""
     rows = _with_spans(docs, id_col, text_col, min_contexts, disclosure)
     text = F.col(text_col)
-    spans = F.sort_array(F.concat("_base", "_terms"))
+    spans = F.sort_array(F.concat("__vl_base", "__vl_terms"))
 
     def merged(s: Column) -> Column:
         start = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -190,5 +190,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         )
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(m)), part), "")
 
-    clean = F.when(text.isNull() | (F.size("_base") + F.size("_terms") == 0), text).otherwise(bind(bind(spans, merged), rewrite))
+    clean = F.when(text.isNull() | (F.size("__vl_base") + F.size("__vl_terms") == 0), text).otherwise(bind(bind(spans, merged), rewrite))
     return rows.select(*(clean.alias(c) if c == text_col else F.col(c) for c in docs.columns))
