@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of many sites stay once; a document that consisted of nothing else goes."""
     out = line_dedup.dedup_lines(docs.select(COLUMNS))
-    empty = (F.col("_n_removed") > 0) & (F.col("_n_removed") >= F.col("_n_lines"))
+    empty = (F.col("__vl_n_removed") > 0) & (F.col("__vl_n_removed") >= F.col("__vl_n_lines"))
     return _counted(out.where(~empty).select(COLUMNS))
 
 
@@ -39,8 +39,8 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies stays: that with the smallest id."""
     docs = docs.select(COLUMNS)
     judged = near_dedup.near_duplicates(docs)
-    gone = stage(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stage(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__vl_gone")).distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id") == F.col("__vl_gone"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
