@@ -97,6 +97,13 @@ def comparison_text(compared: DataFrame, shifts: DataFrame | None = None) -> Ite
     yield f"unchanged: {compared.where('bucket = \"unchanged\"').count()}"
 
 
+def comparison_html(compared: DataFrame, shifts: DataFrame | None = None) -> Iterator[str]:
+    yield "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Comparison</title></head><body>"
+    for line in comparison_text(compared, shifts):
+        yield f"<p>{html.escape(line.strip())}</p>" if line.startswith(" ") or ": " in line else f"<h2>{html.escape(line.removesuffix(':'))}</h2>"
+    yield "</body></html>"
+
+
 def comparison_json(compared: DataFrame, header: dict) -> str:
     """All buckets, empty ones as empty arrays."""
     out: dict = {**header, **{b: [] for b in ("new_survivors", "fixed_survivors", "still_open", "reclassified", "removed_mutants")}, "unchanged": 0}
