@@ -9,8 +9,9 @@ all segments are merged.
 
 Queries meet segments in blocks, by a shuffle on the pair of block numbers: no
 task holds more than one segment and one query block, whatever the tables' size,
-and equal vectors are dealt apart. Pivots are fitted on a bounded sample
-(``n_pivots`` rows with the smallest hashes); every row is indexed.
+and equal vectors are dealt apart. Pivots are the first ``n_pivots`` different
+vectors of a bounded sample (``PIVOT_SAMPLE`` times as many rows, those with the
+smallest hashes of their ids); every row is indexed.
 
 Defined cases: vectors that are null, empty, all zero, of another length than
 most pivots', or hold null or non-finite components take no part; fewer
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 SEGMENT = 4096
 QUERY_BLOCK = 2048
+PIVOT_SAMPLE = 8
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -73,7 +75,8 @@ class Segment:
         n = len(self.ids)
         most = max(int(np.ceil(n * share)), 64 * k)
         if most < n:
-            near = np.argpartition(self.footrule(perm), most)[:most]
+            f = self.footrule(perm)
+            near = np.flatnonzero(f <= np.partition(f, most - 1)[most - 1])  # with all ties, as equal vectors are
         else:
             near = np.arange(n)
         near = near[self.ids[near] != qid]
@@ -87,7 +90,7 @@ class Segment:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, n_pivots: int = 128, length: int = 32, share: float = 0.3
+    vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, n_pivots: int = 256, length: int = 64, share: float = 0.3
 ) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each row of ``queries``: query_id, rank, vec_id, score.
 
@@ -102,7 +105,8 @@ def nearest_neighbours(
     dim, n = size["n"], size["c"]
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     n_asked = asked.count()
-    pivots = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()], float)
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE * n_pivots).collect()
+    pivots = np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample))[:n_pivots], float)
     n_seg, n_block = -(-n // SEGMENT), max(1, -(-n_asked // QUERY_BLOCK))
     deal = lambda m, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(m)).cast("int")
     left = base.select(deal(n_seg, 1).alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(n_block - 1))).alias("block"), "id", "v")
