@@ -301,7 +301,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``; without a model's languages all rows stay."""
     if not model.languages:
         return docs
