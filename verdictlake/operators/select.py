@@ -24,10 +24,9 @@ def top_k_with_total(rows: DataFrame, order: list, k: int, total: str = "total")
     """The first ``k`` rows (all for 0) and in each the number of all rows, counted apart from the limit."""
     if k < 0:
         raise ValueError("a limit may not be negative")
-    # one row with the count on the other side
-    counted = rows.agg(F.count("*").alias(total))
+    counted = rows.agg(F.count("*")).scalar()
     kept = rows.orderBy(*order).limit(k) if k else rows
-    return kept.join(F.broadcast(counted), F.lit(True))
+    return kept.withColumn(total, counted)
 
 
 def duplicate_ids(rows: DataFrame, *keys: str) -> DataFrame:

@@ -34,10 +34,8 @@ def append_entry(path: str, entry: dict) -> None:
 
 def trend_lines(history: DataFrame) -> DataFrame:
     """``history`` with ``line``: the label padded to the longest (in bytes), two spaces, the score with one decimal."""
-    widest = history.agg(F.max(F.octet_length("label")).alias("_w"))
-    # one row on the other side
-    rows = history.join(F.broadcast(widest), F.lit(True))
-    return rows.withColumn("line", F.concat(F.rpad("label", F.col("_w"), F.lit(" ")), F.lit("  "), one_decimal(F.col("score")), F.lit("%"))).drop("_w")
+    widest = history.agg(F.max(F.octet_length("label")).alias("w")).scalar()
+    return history.withColumn("line", F.concat(F.rpad("label", widest, F.lit(" ")), F.lit("  "), one_decimal(F.col("score")), F.lit("%")))
 
 
 def trend_text(history: DataFrame, order: str = "line_no") -> str:
