@@ -60,34 +60,34 @@ class ChunkIds(dict):
         self.pieces: dict[str, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def add(self, chunks: set[bytes]) -> None:
-        pieces, old = self.pieces, self.old
-        if len(pieces) > self.LIMIT:
-            pieces.clear()
-        for c in chunks:
-            if c in old:
-                self[c] = old[c]
-                continue
-            text = c.decode()
-            if self.PLAIN(text) and not ("<|" in text and any(s in text for s in self.special)):
-                ids = []
-                for p in self.CUT(text.lower()):
-                    x = pieces.get(p)
-                    if x is None:
-                        x = pieces[p] = array("H", [t.id for t in self.model(p if p.isascii() else p.translate(self.spelt))]).tobytes()
-                    ids.append(x)
-                self[c] = b"".join(ids)
+    def _piece(self, p: str) -> bytes:
+        x = self.pieces.get(p)
+        if x is None:
+            x = self.pieces[p] = array("H", [t.id for t in self.model(p if p.isascii() else p.translate(self.spelt))]).tobytes()
+        return x
+
+    def __missing__(self, c: bytes) -> bytes:
+        x = self.old.get(c)
+        if x is None:
+            if c.isalpha():
+                x = self._piece(c.lower().decode())
             else:
-                self[c] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+                text = c.decode()
+                if self.PLAIN(text) and not ("<|" in text and any(s in text for s in self.special)):
+                    x = b"".join(map(self._piece, self.CUT(text.lower())))
+                else:
+                    x = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self[c] = x
+        return x
 
     def of(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text."""
         if len(self) > self.LIMIT:
             self.old = dict(self)
             self.clear()
-        split = [(t or b"").split() for t in texts]
-        self.add(set().union(*split).difference(self))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        if len(self.pieces) > self.LIMIT:
+            self.pieces.clear()
+        return [b"".join(map(self.__getitem__, (t or b"").split())) for t in texts]
 
 
 @cache
