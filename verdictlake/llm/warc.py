@@ -36,7 +36,7 @@ from pyspark.sql.datasource import (
     IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
-from .common import shared_dir
+from .common import shared_dir, stage
 
 SCHEMA = T.StructType([
     T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("target_uri", T.StringType()), T.StructField("date", T.StringType()),
@@ -369,9 +369,11 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), F.encode(html, "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    kept = (
+    # written first, so that the join may split the payloads of a very common digest, or need not move payloads at all
+    kept = stage(
         rows.where(F.col("payload_length") >= min_payload).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_length").alias("_n"))
-        .agg(F.max("id").alias("_to"), F.count("*").alias("_c")).where(F.col("_c") > 1)
+        .agg(F.max("id").alias("_to"), F.count("*").alias("_c")).where(F.col("_c") > 1),
+        "repeated-payloads",
     )
     joined = rows.join(kept, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_length") == F.col("_n")), "left")
     again = F.col("_to").isNotNull() & ~F.col("id").eqNullSafe(F.col("_to"))
