@@ -31,8 +31,6 @@ BASE = KINDS[:4]
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
 CONTEXT_CHARS = 100
-#: Terms up to this number are sent to every task; more are joined by a shuffle.
-MAX_SENT = 1 << 18
 CHUNK = 256
 
 _MARK, _OTHER = "", ""
@@ -126,11 +124,8 @@ def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclo
     words = F.array_distinct(F.filter(F.split(F.lower(whole), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
     near = seen.select("id", "entity", F.xxhash64("before", "after").alias("context"), F.explode(words).alias("term"))
     pairs = stage(near.groupBy("entity", "term").agg(F.count_distinct("id").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= min_contexts), "entity-terms")
-    terms = stage(pairs.select("term").distinct(), "terms")
-    sent = terms.count() <= MAX_SENT
-    candidates = F.broadcast(terms) if sent else terms.hint("merge")
-    every = docs.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    with_term = every.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    with_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
     with_entity = seen.groupBy("entity").agg(F.count_distinct("id").alias("n_e"))
     n = F.lit(docs.count()).cast("double")
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
