@@ -5,8 +5,9 @@ addresses, payment cards and phone numbers. A term that stands near an entity
 reveals it as far as knowing the term lowers the entity's information content:
 with n documents, PMI(t; e) = log2(n * n_te / (n_t * n_e)) and IC(e) =
 log2(n / n_e). Terms with PMI >= ``disclosure`` * IC that were seen with the
-entity in at least ``min_contexts`` different contexts are spans as well, in all
-documents that hold the entity. ``sanitise`` generalises entities to their kinds
+entity between at least ``min_contexts`` different pairs of neighbouring words,
+and between as many as half the documents they share, are spans as well, in all
+documents that hold the entity: copies of one passage alone reveal nothing. ``sanitise`` generalises entities to their kinds
 and removes revealing terms.
 
 All counts are over all documents. Positions are code points; nothing but
@@ -14,7 +15,7 @@ built-in functions runs. The patterns below match what the plain ones match, but
 without nested repetition, so that long runs of letters or digits take linear time.
 
 Defined cases: a null text counts as empty and has no spans (``sanitise`` leaves
-it null); copies of a context count once; rows with the same id share their
+it null); rows with the same id share their
 entities' terms; a null id gets base spans only; an empty table gives an empty
 result; other columns pass through ``sanitise`` untouched.
 """
@@ -121,9 +122,12 @@ def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclo
         "entities",
     )
     whole = F.concat_ws(" ", F.when(F.length("before") == CONTEXT_CHARS, F.regexp_replace("before", r"^\S+", "")).otherwise(F.col("before")), F.when(F.length("after") == CONTEXT_CHARS, F.regexp_replace("after", r"\S+$", "")).otherwise(F.col("after")))
-    words = F.array_distinct(F.filter(F.split(F.lower(whole), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    near = seen.select("id", "entity", F.xxhash64("before", "after").alias("context"), F.explode(words).alias("term"))
-    pairs = stage(near.groupBy("entity", "term").agg(F.count_distinct("id").alias("n_te"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= min_contexts), "entity-terms")
+    words = F.filter(F.split(F.lower(whole), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    beside = lambda ws, i: F.xxhash64(F.coalesce(F.get(ws, i - 1), F.lit("")), F.coalesce(F.get(ws, i + 1), F.lit("")))
+    placed = bind(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("term"), beside(ws, i).alias("context"))))
+    near = seen.select("id", "entity", F.explode(placed).alias("p")).select("id", "entity", "p.term", "p.context")
+    counted = near.groupBy("entity", "term").agg(F.count_distinct("id").alias("n_te"), F.count_distinct("context").alias("contexts"))
+    pairs = stage(counted.where((F.col("contexts") >= min_contexts) & (2 * F.col("contexts") >= F.col("n_te"))), "entity-terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     with_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
     with_entity = seen.groupBy("entity").agg(F.count_distinct("id").alias("n_e"))
