@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, hash_edge, small_batches
 
 BUCKETS = 1 << 16
 WIDTH = 24
@@ -262,7 +262,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not counts:
         return [], []
     # a share of each language's hash range that holds some three times as many rows as are wanted
-    edge = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min((1 << 63) - 1, int(-(1 << 63) + 3 * (most + 20) / n * (1 << 64))))))
+    edge = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_edge(n, most))))
     near = known.where(F.col("h") <= F.element_at(edge, F.col("lang")))
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= most).select("id", "lang")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ranked), "id").select("id", "text", "lang").collect()

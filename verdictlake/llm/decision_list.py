@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stage
+from .common import as_bytes, hash_edge, small_batches, stage
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -201,8 +201,9 @@ def quality_rules(
     stats = stage(text_statistics(docs, id_col, text_col), "statistics")
     feature = lambda name: FEATURES[name](F.col)
     one = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad"))
+    edge = hash_edge(one.count(), max_train)
     sample = (
-        stats.join(one, F.col(id_col) == F.col("_id")).select(F.xxhash64("_id").alias("_h"), F.col("_id").cast("string").alias("_k"), "_bad", *(feature(k).alias(f"_f_{k}") for k in FEATURES))
+        stats.join(one.where(F.xxhash64("_id") <= edge), F.col(id_col) == F.col("_id")).select(F.xxhash64("_id").alias("_h"), F.col("_id").cast("string").alias("_k"), "_bad", *(feature(k).alias(f"_f_{k}") for k in FEATURES))
         .orderBy("_h", "_k").limit(max_train).collect()
     )
     x = {k: np.array([r[f"_f_{k}"] for r in sample], float) for k in FEATURES}

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hash_edge
+
 SEGMENT = 4096
 QUERY_BLOCK = 2048
 PIVOT_SAMPLE = 8
@@ -105,7 +107,8 @@ def nearest_neighbours(
     dim, n = size["n"], size["c"]
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     n_asked = asked.count()
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE * n_pivots).collect()
+    most = PIVOT_SAMPLE * n_pivots
+    sample = base.where(F.xxhash64("id") <= hash_edge(n, most)).orderBy(F.xxhash64("id"), "id").limit(most).collect()
     pivots = np.array(list(dict.fromkeys(tuple(r["v"]) for r in sample))[:n_pivots], float)
     n_seg, n_block = -(-n // SEGMENT), max(1, -(-n_asked // QUERY_BLOCK))
     deal = lambda m, seed: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(m)).cast("int")
