@@ -258,14 +258,16 @@ def test_personal_data(spark, sf, docs):
 
 
 def test_revealing_terms(spark):
-    """A nickname that only stands beside one address reveals it; a word that is everywhere does not."""
-    rows = [(i, f"note {i} from Zorblax the writer bob@x.org number{'abcdefgh'[i]}") for i in range(8)] + [(100 + i, f"the writer of page {i} has nothing to hide") for i in range(60)] + [(300, "Zorblax? zorblax! bob@x.org")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    """A nickname that only stands beside one address reveals it; a word that is everywhere, or in copies of one passage, does not."""
+    nato = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel"]
+    rows = [(i, f"by {w} Zorblax {nato[i - 1]} the writer bob@x.org") for i, w in enumerate(nato)] + [(100 + i, f"the writer of page {i} has nothing to hide") for i in range(60)] + [(300, "Zorblax? zorblax! bob@x.org")]
+    copies = [(400 + i, "kept by Quixel only ann@y.org") for i in range(9)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in sanitise.find_personal_data(df).collect()}
-    assert "term:12:19" in spans[0].split(",")
-    assert spans[300].startswith("term:0:7,term:9:16") and not spans[100]
+    assert spans[0].split(",")[0] == "term:9:16" and spans[400] == "email:20:29"
+    assert spans[300].startswith("term:0:7,term:9:16,") and not spans[100]
     clean = {r["doc_id"]: r["text"] for r in sanitise.sanitise(df).collect()}
-    assert clean[300] == "<TERM>? <TERM>! <EMAIL>" and clean[100] == rows[8][1] and "the writer" in clean[0]
+    assert clean[300] == "<TERM>? <TERM>! <EMAIL>" and clean[100] == rows[8][1] and "the writer <EMAIL>" in clean[0]
 
 
 def test_sanitise_odd_rows(odd):
