@@ -218,7 +218,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = EPOCHS, batch: i
 class Labeller:
     """Word scores by run, kept in two generations of bounded size."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     def __init__(self, model: Model):
         self.model, self.numbers, self.scores = model, {}, np.zeros((0, len(model.languages)), np.float32)
