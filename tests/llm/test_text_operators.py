@@ -270,6 +270,14 @@ def test_revealing_terms(spark):
     assert clean[300] == "<TERM>? <TERM>! <EMAIL>" and clean[100] == rows[8][1] and "the writer <EMAIL>" in clean[0]
 
 
+def test_terms_of_one_phrase(spark):
+    """A name that always stands in the same signature reveals the address, in however many different documents; in copies of one document it does not."""
+    rows = [(i, f"page {i} ends\nregards, Zorblax bob@x.org") for i in range(9)] + [(100 + i, f"regards from page {i}") for i in range(60)] + [(400 + i, "regards, Quixel ann@y.org") for i in range(9)]
+    spans = {r["doc_id"]: r["spans"] for r in sanitise.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[0][1].index("Zorblax")
+    assert f"term:{at}:{at + 7}" in spans[0].split(",") and "term" not in spans[400]
+
+
 def test_sanitise_odd_rows(odd):
     out = sanitise.sanitise(odd)
     assert out.columns == odd.columns

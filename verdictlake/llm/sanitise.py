@@ -4,13 +4,11 @@ Protected entities are what the base patterns find: e-mail addresses, IPv4
 addresses, payment cards and phone numbers. A term that stands near an entity
 reveals it as far as knowing the term lowers the entity's information content:
 with n documents, PMI(t; e) = log2(n * n_te / (n_t * n_e)) and IC(e) =
-log2(n / n_e). Terms with PMI >= ``disclosure`` * IC that were seen with the
-entity between at least ``min_contexts`` different pairs of neighbouring words,
-and between as many as half the documents they share, are spans as well, in all
-documents that hold the entity: copies of one passage alone reveal nothing. ``sanitise`` generalises entities to their kinds
-and removes revealing terms.
+log2(n / n_e). Terms with PMI >= ``disclosure`` * IC that at least ``min_contexts``
+documents share with the entity are spans as well, in all documents that hold the
+entity. ``sanitise`` generalises entities to their kinds and removes revealing terms.
 
-All counts are over all documents. Positions are code points; nothing but
+All four counts are of different whole texts over all documents, so that copies count once. Positions are code points; nothing but
 built-in functions runs. The patterns below match what the plain ones match, but
 without nested repetition, so that long runs of letters or digits take linear time.
 
@@ -111,27 +109,38 @@ def _entity(kind: Column, match: Column) -> Column:
     return F.concat(kind.cast("string"), F.lit(":"), F.lower(F.when(kind.isin(2, 3), _digits(match)).otherwise(F.translate(match, _MARK, "."))))
 
 
+def _terms(text: Column) -> Column:
+    """The different words of a text, runs of at least three letters in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+
+
+def _different(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The different texts of ``docs`` (key, text), each once, and their number. Texts without a copy do not move."""
+    docs = docs.select("key", "text")
+    keys = stage(docs.groupBy("key").agg(F.count("*").alias("copies")), "text-keys")
+    copied = keys.where(F.col("copies") > 1).select("key")
+    return docs.join(copied, "key", "left_anti").unionByName(docs.join(copied, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))), keys.count()
+
+
 def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, terms) for the documents (id, text) whose entities some terms reveal."""
+    docs = docs.withColumn("key", F.md5("text"))
+    texts, n = _different(docs)
     seen = stage(
-        docs.select("id", "text", F.explode(base_spans(F.col("text"))).alias("s")).select(
-            "id", _entity(F.col("s.kind"), F.col("s.match")).alias("entity"),
+        docs.select("id", "key", "text", F.explode(base_spans(F.col("text"))).alias("s")).select(
+            "id", "key", _entity(F.col("s.kind"), F.col("s.match")).alias("entity"),
             F.substring_index(F.expr(f"substring(text, greatest(1, s.start - {CONTEXT_CHARS} + 1), least(s.start, {CONTEXT_CHARS}))"), "\n", -1).alias("before"),
             F.substring_index(F.expr(f"substring(text, s.end + 1, {CONTEXT_CHARS})"), "\n", 1).alias("after"),
         ),
         "entities",
     )
     whole = F.concat_ws(" ", F.when(F.length("before") == CONTEXT_CHARS, F.regexp_replace("before", r"^\S+", "")).otherwise(F.col("before")), F.when(F.length("after") == CONTEXT_CHARS, F.regexp_replace("after", r"\S+$", "")).otherwise(F.col("after")))
-    words = F.filter(F.split(F.lower(whole), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
-    beside = lambda ws, i: F.xxhash64(F.coalesce(F.get(ws, i - 1), F.lit("")), F.coalesce(F.get(ws, i + 1), F.lit("")))
-    placed = bind(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("term"), beside(ws, i).alias("context"))))
-    near = seen.select("id", "entity", F.explode(placed).alias("p")).select("id", "entity", "p.term", "p.context")
-    counted = near.groupBy("entity", "term").agg(F.count_distinct("id").alias("n_te"), F.count_distinct("context").alias("contexts"))
-    pairs = stage(counted.where((F.col("contexts") >= min_contexts) & (2 * F.col("contexts") >= F.col("n_te"))), "entity-terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    with_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    with_entity = seen.groupBy("entity").agg(F.count_distinct("id").alias("n_e"))
-    n = F.lit(docs.count()).cast("double")
+    near = seen.select("key", "entity", F.explode(_terms(whole)).alias("term"))
+    counted = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_te"))
+    pairs = stage(counted.where(F.col("n_te") >= min_contexts), "entity-terms")
+    with_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    with_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
+    n = F.lit(n).cast("double")
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     telling = stage(pairs.join(with_term, "term").join(with_entity, "entity").where((F.col("n_e") < n) & (pmi >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term"), "telling")
     return stage(seen.where(F.col("id").isNotNull()).select("id", "entity").distinct().join(telling, "entity").groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
