@@ -278,6 +278,15 @@ def test_terms_of_one_phrase(spark):
     assert f"term:{at}:{at + 7}" in spans[0].split(",") and "term" not in spans[400]
 
 
+def test_terms_far_from_the_entity(spark):
+    """A name on another line, or far away, reveals the address; a word that also stands in many other texts does not."""
+    fill = "the same words over and over " * 20
+    rows = [(i, f"Name: Zorblax\n{fill}\n{i} Email: bob@x.org") for i in range(9)] + [(100 + i, f"{fill}{i} Name: Email:") for i in range(60)]
+    spans = {r["doc_id"]: r["spans"] for r in sanitise.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[0][1].index("bob@")
+    assert spans[0] == f"term:6:13,email:{at}:{at + 9}" and not spans[100]
+
+
 def test_sanitise_odd_rows(odd):
     out = sanitise.sanitise(odd)
     assert out.columns == odd.columns

@@ -1,21 +1,22 @@
 """PII: information-theoretic sanitisation with DataFrame functions only.
 
 Protected entities are what the base patterns find: e-mail addresses, IPv4
-addresses, payment cards and phone numbers. A term that stands near an entity
-reveals it as far as knowing the term lowers the entity's information content:
-with n documents, PMI(t; e) = log2(n * n_te / (n_t * n_e)) and IC(e) =
-log2(n / n_e). Terms with PMI >= ``disclosure`` * IC that at least ``min_contexts``
-documents share with the entity are spans as well, in all documents that hold the
-entity. ``sanitise`` generalises entities to their kinds and removes revealing terms.
-
-All four counts are of different whole texts over all documents, so that copies count once. Positions are code points; nothing but
-built-in functions runs. The patterns below match what the plain ones match, but
-without nested repetition, so that long runs of letters or digits take linear time.
+addresses, payment cards and phone numbers. A term that shares
+documents with an entity reveals it as far as knowing the term lowers the entity's
+information content: with n documents, PMI(t; e) = log2(n * n_te / (n_t * n_e)) and
+IC(e) = log2(n / n_e). Terms with PMI >= ``disclosure`` * IC that at least
+``min_contexts`` documents share with the entity, at any distance, are spans as well,
+in all documents that hold both. ``sanitise`` generalises entities to their kinds and
+removes revealing terms.
+
+All four counts are of different whole texts over all documents, so that copies count
+once. Positions are code points; nothing but built-in functions runs. The patterns
+below match what the plain ones match, but without nested repetition, so that long
+runs of letters or digits take linear time.
 
 Defined cases: a null text counts as empty and has no spans (``sanitise`` leaves
-it null); rows with the same id share their
-entities' terms; a null id gets base spans only; an empty table gives an empty
-result; other columns pass through ``sanitise`` untouched.
+it null); rows with the same id share the terms found in any of them; a null id
+gets base spans only; an empty table gives an empty result; other columns pass through ``sanitise`` untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 BASE = KINDS[:4]
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
-CONTEXT_CHARS = 100
 CHUNK = 256
 
 _MARK, _OTHER = "", ""
@@ -115,35 +115,35 @@ def _terms(text: Column) -> Column:
 
 
 def _different(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The different texts of ``docs`` (key, text), each once, and their number. Texts without a copy do not move."""
-    docs = docs.select("key", "text")
-    keys = stage(docs.groupBy("key").agg(F.count("*").alias("copies")), "text-keys")
-    copied = keys.where(F.col("copies") > 1).select("key")
-    return docs.join(copied, "key", "left_anti").unionByName(docs.join(copied, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))), keys.count()
+    """The different texts of ``docs`` (key, text), each once, and their number. Where few texts have copies the others do not move."""
+    copied = stage(docs.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copied-texts")
+    once, again = docs.join(copied, "key", "left_anti"), docs.join(copied, "key", "left_semi")
+    more = copied.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    return once.select("text").unionByName(again.select("text").distinct()), docs.count() - more
 
 
 def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(id, terms) for the documents (id, text) whose entities some terms reveal."""
-    docs = docs.withColumn("key", F.md5("text"))
-    texts, n = _different(docs)
-    seen = stage(
-        docs.select("id", "key", "text", F.explode(base_spans(F.col("text"))).alias("s")).select(
-            "id", "key", _entity(F.col("s.kind"), F.col("s.match")).alias("entity"),
-            F.substring_index(F.expr(f"substring(text, greatest(1, s.start - {CONTEXT_CHARS} + 1), least(s.start, {CONTEXT_CHARS}))"), "\n", -1).alias("before"),
-            F.substring_index(F.expr(f"substring(text, s.end + 1, {CONTEXT_CHARS})"), "\n", 1).alias("after"),
-        ),
-        "entities",
-    )
-    whole = F.concat_ws(" ", F.when(F.length("before") == CONTEXT_CHARS, F.regexp_replace("before", r"^\S+", "")).otherwise(F.col("before")), F.when(F.length("after") == CONTEXT_CHARS, F.regexp_replace("after", r"\S+$", "")).otherwise(F.col("after")))
-    near = seen.select("key", "entity", F.explode(_terms(whole)).alias("term"))
-    counted = near.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_te"))
-    pairs = stage(counted.where(F.col("n_te") >= min_contexts), "entity-terms")
-    with_term = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    with_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("n_e"))
+    """(id, terms) for the documents (id, text) whose entities some of their terms reveal."""
+    docs = docs.withColumn("key", F.xxhash64("text"))
+    names = F.array_distinct(F.transform(base_spans(F.col("text")), lambda s: _entity(s["kind"], s["match"])))
+    held = stage(docs.select("id", "key", "text", names.alias("entities")).where(F.size("entities") > 0).select("id", "key", "entities", _terms(F.col("text")).alias("terms")), "entities")
+    texts, n = _different(docs.select("key", "text"))
     n = F.lit(n).cast("double")
+    own = held.select("key", F.explode("entities").alias("entity")).distinct()
+    # n_te is at most n_e, so that terms in more than ``most`` documents can't reach the threshold: common words never meet the entities
+    most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    with_entity = stage(own.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= min_contexts) & (F.col("n_e") < n)).withColumn("most", most), "entity-counts")
+    entities = stage(own.join(with_entity, "entity"), "entity-texts")
+    top = with_entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    with_term = stage(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t").between(min_contexts, top)), "term-counts")
+    words = stage(held.select("key", F.explode("terms").alias("term")).join(with_term, "term"), "text-terms")
+    # copies of a text give the same rows once: ``entities`` is distinct by text, and so are its terms
+    near = stage(entities.join(words.distinct(), "key").where(F.col("n_t") <= F.col("most")).select("key", "entity", "term", "n_e", "n_t"), "entity-terms")
+    counted = near.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
-    telling = stage(pairs.join(with_term, "term").join(with_entity, "entity").where((F.col("n_e") < n) & (pmi >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term"), "telling")
-    return stage(seen.where(F.col("id").isNotNull()).select("id", "entity").distinct().join(telling, "entity").groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
+    telling = stage(counted.where((F.col("n_te") >= min_contexts) & (pmi >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term"), "telling")
+    told = near.join(telling, ["entity", "term"]).select("key", "term")
+    return stage(held.where(F.col("id").isNotNull()).select("id", "key").distinct().join(told, "key").groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_contexts: int, disclosure: float) -> DataFrame:
