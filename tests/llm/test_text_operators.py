@@ -129,6 +129,18 @@ def test_code_switched_words(spark):
     assert crf_language.identify(df, model, word_labels=True).first()["word_langs"] == ["en"] * 5 + ["de"] * 5
 
 
+def test_joined_texts_are_read_whole(spark):
+    """A long text without ASCII white space, whose language shows only after its 24th character."""
+    model = crf_language.train(["the house and the tree of all that was"] * 30 + ["der baum und das haus mit dem garten"] * 30, ["en"] * 30 + ["de"] * 30)
+    german = "der baum und das haus mit dem garten " * 50
+    texts = ["the_tree_and_the_house_that_" + german.replace(" ", "_") + "that_was", "the\u3000tree\u3000" + german.replace(" ", "\u3000") + "was", "the house " + german.replace(" ", "/")]
+    rows = crf_language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, word_labels=True).collect()
+    assert [r["lang_pred"] for r in rows] == ["de"] * 3 and all(len(r["word_langs"]) > 50 for r in rows)
+    long = "".join(chr(97 + i % 23) for i in range(100))
+    parts = crf_language.pieces(long)
+    assert parts[0] + "".join(p[2:] for p in parts[1:]) == long and max(map(len, parts)) <= crf_language.WIDTH
+
+
 def test_language_of_odd_rows(odd):
     model = crf_language.fit(odd)
     rows = crf_language.identify(odd, model).collect()

@@ -1,12 +1,15 @@
 """Language ID: a linear-chain conditional random field over the words of a text.
 
-A word - a run without white space that has a letter - is described by its
+A word - a run without Unicode white space that has a letter - is described by its
 affixes, its character n-grams and its entry in a lexicon of words frequent in
 the training sample. Feature weights and transitions between languages are
 learned together by gradient steps on the conditional likelihood; forward-backward
 gives every word a distribution over languages, so that code-switched texts are
 labelled word by word. A text's language is that with the most expected words.
 
+A run of more than ``WIDTH`` characters, as of a script without spaces, counts as
+several words: pieces that overlap by two, so that every n-gram is read.
+
 Long texts are cut into chunks whose transfer matrices are multiplied first, so
 that forward-backward runs over all chunks of a batch at once and yet is exact.
 
@@ -31,7 +34,7 @@ from .common import as_bytes, hash_edge, small_batches
 
 BUCKETS = 1 << 16
 WIDTH = 24
-GRAMS = 14
+GRAMS = WIDTH - 2
 CHUNK = 32
 DOCS_PER_LANGUAGE = 120
 EPOCHS = 3
@@ -102,6 +105,14 @@ def clean_word(run: str) -> str:
     return run[at[0] : at[-1] + 1].lower() if at else ""
 
 
+def pieces(run: str) -> list[str]:
+    """The words of a run: itself, or pieces of ``WIDTH`` that share two characters; none without a letter."""
+    word = clean_word(run)
+    if len(word) <= WIDTH:
+        return [word] if word else []
+    return [p for p in (clean_word(word[i : i + WIDTH]) for i in range(0, len(word) - 2, WIDTH - 2)) if p]
+
+
 def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Forward-backward over sequences laid end to end: (n, L) log-potentials to (n, L) probabilities."""
     n, k = scores.shape
@@ -167,7 +178,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = EPOCHS, batch: i
     numbers: dict[str, int] = {}
     segments, targets = [], []
     for text, label in zip(texts, labels, strict=True):
-        ids = [numbers.setdefault(w, len(numbers)) for w in map(clean_word, text.split()) if w]
+        ids = [numbers.setdefault(w, len(numbers)) for run in text.split() for w in pieces(run)]
         for i in range(0, len(ids) - CHUNK + 1 if len(ids) >= CHUNK else 1, CHUNK):
             if part := ids[i : i + CHUNK]:
                 segments.append(part)
@@ -223,15 +234,23 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.numbers, self.scores = model, {}, np.zeros((0, len(model.languages)), np.float32)
 
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        """The runs between white space, the long ones as pieces."""
+        runs = text.split()
+        if runs and max(map(len, runs)) > WIDTH:
+            runs = [p for run in runs for p in (pieces(run) if len(run) > WIDTH else (run,))]
+        return runs
+
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all words, and words in each text."""
-        split = [(t or b"").split() for t in texts]
+        split = [self.runs((t or b"").decode()) for t in texts]
         new = list(set().union(*split).difference(self.numbers))
         if len(self.numbers) + len(new) > self.LIMIT and self.numbers:
             self.numbers, self.scores = {}, self.scores[:0]
             new = list(set().union(*split))
         if new:
-            cleaned = [clean_word(c.decode()) for c in new]
+            cleaned = [clean_word(c) for c in new]
             words = [w for w in cleaned if w]
             at = len(self.scores)
             for c, w in zip(new, cleaned, strict=True):
