@@ -141,6 +141,11 @@ def test_joined_texts_are_read_whole(spark):
     assert parts[0] + "".join(p[2:] for p in parts[1:]) == long and max(map(len, parts)) <= crf_language.WIDTH
 
 
+def test_training_reads_the_ends_of_texts():
+    model = crf_language.train(["one " * crf_language.CHUNK + "two " * 8], ["en"])
+    assert len(model.lexicon) == 2
+
+
 def test_language_of_odd_rows(odd):
     model = crf_language.fit(odd)
     rows = crf_language.identify(odd, model).collect()

@@ -179,7 +179,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = EPOCHS, batch: i
     segments, targets = [], []
     for text, label in zip(texts, labels, strict=True):
         ids = [numbers.setdefault(w, len(numbers)) for run in text.split() for w in pieces(run)]
-        for i in range(0, len(ids) - CHUNK + 1 if len(ids) >= CHUNK else 1, CHUNK):
+        for i in range(0, len(ids), CHUNK):
             if part := ids[i : i + CHUNK]:
                 segments.append(part)
                 targets.append(languages.index(label))
