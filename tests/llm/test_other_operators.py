@@ -112,7 +112,22 @@ def test_neighbours(spark, sf):
     assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
 
 
-def test_recall_of_larger_segments(spark):
+def test_pivot_files_shrink_as_tables_grow():
+    parts = [permutation_index.POSTED * read / pivots for pivots, read in map(permutation_index.layout, (500, 50_000, 1_000_000, 4_000_000))]
+    assert parts == sorted(parts, reverse=True) and parts[-1] < 0.2
+
+
+def test_few_ids_with_many_vectors(spark):
+    """100,000 rows over five ids; and one vector that a third of all rows hold."""
+    df = spark.range(100_000).select((F.col("id") % 5).alias("vec_id"), F.array((F.col("id") % 40 + 1).cast("double"), F.lit(1.0)).alias("embedding"))
+    rows = permutation_index.nearest_neighbours(df, df.where("vec_id = 0").distinct()).collect()
+    assert len(rows) == 10 and all(r["query_id"] == 0 and r["vec_id"] != 0 for r in rows)
+    hot = spark.range(900).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.sin("id"), F.cos("id"))).alias("embedding"))
+    got = permutation_index.nearest_neighbours(hot, hot.where("vec_id = 300")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(3 * i, 0.0) for i in range(10)]
+
+
+def test_recall_of_larger_tables(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(9000, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
