@@ -1,14 +1,18 @@
 """Quality rules: learned decision lists over text statistics.
 
 ``text_statistics`` measures every whole text; ``learn_decision_list`` runs
-sequential covering over labelled statistics: it grows a conjunction of
-thresholds by information gain, prunes it on held-back rows, keeps it if it is
-precise enough there, takes the covered rows away and goes on. The list becomes
-one ordered chain of Spark conditional expressions.
+sequential covering over labelled statistics. It grows a conjunction of thresholds
+by information gain, prunes it on held-back rows, and keeps it if it is precise
+enough; the rows it covers are taken away. Rules that reject are tried first; where
+none is left, a rule that keeps is added, which may make others precise on what
+remains. Rules that fail are discarded, and growing goes on without the rows that
+led to them. The first rule of the list that holds decides, so that the list becomes
+one ordered chain of Spark conditional expressions; where none holds, a row is kept.
 
 Defined cases: a null text counts as empty (all statistics 0); rows are judged
-one by one, so repeated rows give repeated results; an empty table gives an
-empty result; without usable labels the list is empty and keeps everything.
+one by one, so repeated rows give repeated results, and a labelled row that is
+repeated is learned from once; an empty table gives an empty result; without usable
+labels the list is empty and keeps everything.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hash_edge, small_batches, stage
+from .common import as_bytes, bound_batches, hash_edge, small_batches, stage, tidy
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -82,6 +86,7 @@ def statistics_of(text: bytes | None) -> tuple[int, ...]:
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the id and ``STATS`` as longs."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def measure(batches):
         for b in batches:
@@ -90,16 +95,17 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, pa.int64()) for r in rows)], [id_col, *STATS])
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{s} bigint" for s in STATS)
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(measure, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(tidy(measure), schema)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """All of ``tests`` (feature, '<=' or '>', threshold) hold: the row is rejected."""
+    """Where all of ``tests`` (feature, '<=' or '>', threshold) hold, the row is rejected (``bad``) or kept."""
 
     tests: tuple[tuple[str, str, float], ...]
-    precision: float
-    covered: int
+    bad: bool
+    precision: float = 0.0
+    covered: int = 0
 
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         out = np.ones(len(next(iter(x.values()))), bool)
@@ -119,7 +125,7 @@ class DecisionList:
             cond = F.lit(True)
             for name, op, t in rule.tests:
                 cond = cond & (feature(name) <= F.lit(t) if op == "<=" else feature(name) > F.lit(t))
-            out = F.when(cond, F.lit(False)) if out is None else out.when(cond, F.lit(False))
+            out = F.when(cond, F.lit(not rule.bad)) if out is None else out.when(cond, F.lit(not rule.bad))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
@@ -149,43 +155,81 @@ def _best_test(x: dict[str, np.ndarray], bad: np.ndarray, most_cuts: int) -> tup
     return best, found
 
 
+def chance(hits: int, n: int, rate: float) -> float:
+    """The probability of ``hits`` or more among ``n`` draws that each hit at ``rate``."""
+    if not 0 < rate < 1:
+        return 1.0
+    i = np.arange(hits, n + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    return float(np.exp(logs[n] - logs[i] - logs[n - i] + i * np.log(rate) + (n - i) * np.log1p(-rate)).sum())
+
+
 def learn_decision_list(
-    x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0.95, min_covered: int = 10, max_rules: int = 16, max_tests: int = 4, most_cuts: int = 512
+    x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: float = 0.95, max_chance: float = 1e-5, min_covered: int = 10, max_rules: int = 32, max_tests: int = 4, most_cuts: int = 512
 ) -> DecisionList:
-    """Sequential covering for the class ``bad``. Every third row is held back for pruning."""
+    """Sequential covering of ``bad`` and of the other rows, in one list. A third of the rows is held back for pruning.
+
+    A rule must be precise on all rows and on those held back, where rows drawn at random would do as well with a
+    probability of ``max_chance`` at most. A rule that keeps may cover at most the part ``1 - min_precision`` of the bad rows that chance would give it.
+    """
     rules: list[Rule] = []
-    alive = np.ones(len(bad), bool)
-    prune_row = np.arange(len(bad)) % 3 == 2
-    while len(rules) < max_rules and len(bad):
-        grow, hold = alive & ~prune_row, alive & prune_row
-        if bad[grow].sum() < min_covered:
-            break
+    alive, third = np.ones(len(bad), bool), np.arange(len(bad)) % 3
+    needed = {True: min_precision, False: 1 - (1 - min_precision) * (bad.mean() if len(bad) else 0.0)}
+
+    def grown(of: np.ndarray, rows: np.ndarray, start: str) -> list[tuple[str, str, float]]:
+        """A conjunction whose first test is of the feature ``start``."""
         tests: list[tuple[str, str, float]] = []
-        inside = np.flatnonzero(grow)
-        while len(tests) < max_tests and (~bad[inside]).any():
-            _, t = _best_test({k: v[inside] for k, v in x.items()}, bad[inside], most_cuts)
+        inside = np.flatnonzero(rows)
+        while len(tests) < max_tests and (~of[inside]).any():
+            _, t = _best_test({k: v[inside] for k, v in x.items() if tests or k == start}, of[inside], most_cuts)
             if t is None:
                 break
             tests.append(t)
             v = x[t[0]][inside]
             inside = inside[v <= t[2] if t[1] == "<=" else v > t[2]]
-        if not tests:
-            break
+        return tests
 
-        def worth(n: int, tests=tests, hold=hold) -> float:
-            c = Rule(tuple(tests[:n]), 0, 0).holds(x) & hold
-            p, q = (c & bad).sum(), (c & ~bad).sum()
+    def pruned(tests: list[tuple[str, str, float]], rejects: bool, of: np.ndarray, hold: np.ndarray) -> tuple[Rule, np.ndarray]:
+        def worth(n: int) -> float:
+            c = Rule(tuple(tests[:n]), rejects).holds(x) & hold
+            p, q = (c & of).sum(), (c & ~of).sum()
             return (p - q) / (p + q) if p + q else -1.0
 
         keep = max(range(1, len(tests) + 1), key=lambda n: (worth(n), -n))
-        rule = Rule(tuple(tests[:keep]), 0, 0)
-        c = rule.holds(x) & alive
+        c = Rule(tuple(tests[:keep]), rejects).holds(x) & alive
         on_hold = c & hold
-        precision = min((c & bad).sum() / max(1, c.sum()), (on_hold & bad).sum() / on_hold.sum() if on_hold.any() else 0.0)
-        if precision < min_precision or c.sum() < min_covered:
+        hits, n = int((on_hold & of).sum()), int(on_hold.sum())
+        precision = min((c & of).sum() / max(1, c.sum()), hits / n if n and chance(hits, n, of[hold].mean()) <= max_chance else 0.0)
+        return Rule(tuple(tests[:keep]), rejects, float(precision), int(c.sum())), c
+
+    def next_rule(rejects: bool) -> tuple[Rule, np.ndarray] | None:
+        """The acceptable rule that covers most, of those grown from each feature's best test; with another third held back where there is none."""
+        of = bad if rejects else ~bad
+        for held in (2, 0, 1):
+            usable, hold = alive & (third != held), alive & (third == held)
+            while of[usable].sum() >= min_covered:
+                made = [tests for tests in (grown(of, usable, k) for k in x) if tests]
+                if not made:
+                    break
+                fit = [f for f in (pruned(tests, rejects, of, hold) for tests in made) if f[0].precision >= needed[rejects] and f[0].covered >= min_covered]
+                if fit:
+                    return max(fit, key=lambda f: int((f[1] & of).sum()) - int((f[1] & ~of).sum()))
+                led = np.zeros(len(bad), bool)
+                for tests in made:
+                    led |= Rule(tuple(tests), rejects).holds(x)
+                if not (led & usable & of).any():
+                    break
+                usable &= ~(led & of)
+        return None
+
+    while len(rules) < max_rules and len(bad):
+        found = next_rule(True) or next_rule(False)
+        if found is None:
             break
-        rules.append(Rule(rule.tests, float(precision), int(c.sum())))
-        alive &= ~c
+        rules.append(found[0])
+        alive &= ~found[1]
+    while rules and not rules[-1].bad:  # what no rule decides is kept anyway
+        rules.pop()
     return DecisionList(tuple(rules))
 
 
@@ -201,10 +245,12 @@ def quality_rules(
     stats = stage(text_statistics(docs, id_col, text_col), "statistics")
     feature = lambda name: FEATURES[name](F.col)
     one = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad"))
-    edge = hash_edge(one.count(), max_train)
+    one = one.select(F.xxhash64("_id").alias("_h"), "_id", "_bad")
+    ids = one.agg(F.approx_count_distinct("_h")).first()[0]
+    near = one.where(F.col("_h") <= hash_edge(ids, max_train)).distinct()
     sample = (
-        stats.join(one.where(F.xxhash64("_id") <= edge), F.col(id_col) == F.col("_id")).select(F.xxhash64("_id").alias("_h"), F.col("_id").cast("string").alias("_k"), "_bad", *(feature(k).alias(f"_f_{k}") for k in FEATURES))
-        .orderBy("_h", "_k").limit(max_train).collect()
+        stats.join(near, F.col(id_col) == F.col("_id")).select("_h", F.col("_id").cast("string").alias("_k"), "_bad", *(feature(k).alias(f"_f_{k}") for k in FEATURES)).distinct()
+        .orderBy("_h", "_k", "_bad", *(f"_f_{k}" for k in FEATURES)).limit(max_train).collect()
     )
     x = {k: np.array([r[f"_f_{k}"] for r in sample], float) for k in FEATURES}
     rules = learn_decision_list(x, np.array([r["_bad"] for r in sample], bool), min_precision=min_precision)
