@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, partitions, small_batches
+from .common import as_bytes, bound_batches, partitions, small_batches, tidy
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 16 << 20
@@ -128,7 +128,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
         if ids:
             yield row()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "block long, packed binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), "block long, packed binary")
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -166,12 +166,13 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
                 out.append(_pack_words([known[w] for w in mine]))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
-    return words.mapInArrow(encode, "block long, bucket int, ids binary")
+    return words.mapInArrow(tidy(encode), "block long, bucket int, ids binary")
 
 
 def encode_and_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digests: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row its id, n_tokens, and ids (array<int>) and decoded (binary), or with ``digests`` ids_sha256 and decoded_sha256."""
     path = path or public_tokenizers.path(RANKS)
+    bound_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = _blocks(docs, id_col, text_col, block_bytes).repartition(n, "block")

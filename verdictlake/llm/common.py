@@ -46,6 +46,8 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: An input of unknown size is estimated at exabytes, and so may be a product of sizes.
+MOST_BYTES = 1 << 50
 #: Bytes of one Arrow batch on its way to a Python worker: rows alone do not bound it where texts are long.
 ARROW_BYTES = 8 << 20
 
@@ -82,6 +84,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, each: int) -> int:
+    """Shuffle partitions of some ``each`` bytes of ``df``'s input by Spark's own estimate where it has one, and no fewer than the session has."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), -(-told // each) if told < MOST_BYTES else 0)
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept while there are few enough of them."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hash_edge, small_batches
+from .common import as_bytes, bound_batches, hash_edge, small_batches, tidy
 
 BUCKETS = 1 << 16
 WIDTH = 24
@@ -296,6 +296,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", word_labels: bool = False) -> DataFrame:
     """(id, lang_pred, score) for each row, and with ``word_labels`` the likeliest language of each word."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [id_col, "lang_pred", "score", *["word_langs"] * word_labels]
 
@@ -317,13 +318,14 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.clip(share, 0, 1), pa.float64()), *extra], names)
 
     schema = f"`{id_col}` {kind}, lang_pred string, score double" + ", word_langs array<string>" * word_labels
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``; without a model's languages all rows stay."""
     if not model.languages:
         return docs
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -334,4 +336,4 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", mi
             sums = expected_words(scores, lengths, model.transitions)
             yield b.filter(pa.array((lengths > 0) & (sums.max(1) >= min_score * lengths)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

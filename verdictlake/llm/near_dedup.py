@@ -4,7 +4,8 @@
    its smallest id represents. Every class gets 128 registers, each the leading
    zeros and the mantissa of a least hash in 16 bits.
 2. Bands of four compressed registers are the buckets. Each bucket links its
-   members to its smallest id only, so pairs grow with the rows.
+   members to its smallest id only, so pairs grow with the rows. Sets are 64-bit
+   hashes of shingles; equal sets are known by size, sum and xor of their hashes.
 3. Pairs pass if their sizes and the collision-corrected similarity of their
    registers allow the threshold, and count only once the full sets confirm them.
 4. Where a bucket still holds more than one component, its members of different
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHash, as_bytes, mix64, small_batches, stage
+from .common import WordHash, as_bytes, bound_batches, mix64, small_batches, stage, tidy
 from .components import connected_components
 
 REGISTERS = 128
@@ -99,13 +100,22 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "c1", "c2", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, c1 long, c2 long, bands array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(run), f"id {kind}, n long, c1 long, c2 long, bands array<long>")
 
 
 def _flat_registers(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).view(np.uint16).reshape(-1, REGISTERS)
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of longs of a column as arrays that share its memory."""
+    out = []
+    for part in column.chunks:
+        values, ends = part.values.to_numpy(), part.offsets.to_numpy()
+        out += [values[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and registers allow the threshold."""
     side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bands").alias(f"r_{s}"))
@@ -120,54 +130,62 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return rows.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. Each set moves once for each of its pairs."""
-    pairs = stage(pairs, "pairs")
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, name: str) -> DataFrame:
+    """(id, s), staged: the shingle sets of the documents whose ids ``wanted`` (_id, distinct) holds, each once."""
     kind = docs.schema["id"].dataType.simpleString()
-    wanted = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("b"))).distinct().groupBy("a").agg(F.collect_set("b").alias("to")).withColumnRenamed("a", "_id")
-    n = pairs.count()
-    rows = docs.join(F.broadcast(wanted) if n <= MAX_SENT else wanted.hint("merge"), F.col("id") == F.col("_id")).select("id", "text", "to")
+    sent = wanted.count() <= MAX_SENT
+    texts = docs.join(F.broadcast(wanted) if sent else wanted.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
 
     def sets(batches):
         hashes = WordHash()
         for b in small_batches(batches, "text"):
-            packed = [shingle_hashes(t, size, hashes).tobytes() for t in as_bytes(b.column(1))]
-            to = b.column(2).to_pylist()
-            for i in range(b.num_rows):  # one row for each partner, in small batches
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(to[i]), b.schema.field(0).type), pa.array(to[i], b.schema.field(0).type), pa.array([packed[i]] * len(to[i]), pa.binary())], ["a", "b", "s"])
+            made = [shingle_hashes(t, size, hashes) for t in as_bytes(b.column(1))]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in made])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made).view(np.int64)))], ["id", "s"])
 
-    made = stage(rows.mapInArrow(sets, f"a {kind}, b {kind}, s binary"), "sets")
-    own = made.where(F.col("a") == F.col("b")).select(F.col("b").alias("_b"), F.col("s").alias("t"))
-    met = made.where(F.col("a") != F.col("b")).join(own, F.col("b") == F.col("_b")).select("a", "b", "s", "t")
+    return stage(texts.select("id", "text").mapInArrow(tidy(sets), f"id {kind}, s array<long>"), name)
 
-    def compare(batches):
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(met.mapInArrow(compare, f"a {kind}, b {kind}").distinct(), "links")
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold.
+
+    A set is written once. Pairs meet the sets of either side by joins whose large partitions Spark can split, and sets
+    are compared row by row, so that nothing of a hub with very many partners is ever gathered.
+    """
+    pairs = stage(pairs, "pairs")
+    made = _sets(docs, stage(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "paired"), size, "sets")
+    side = lambda k, s: made.select(F.col("id").alias(k), F.col("s").alias(s))
+    common = F.size(F.array_intersect("s", "t"))
+    met = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", common.alias("common"), (F.size("s") + F.size("t")).alias("both"))
+    return stage(met.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b").distinct(), "links")
 
 
 def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Plausible partners in other components, bucket by bucket and block against block.
 
-    ``rows``: (band, key, size, id, c, cs, p, pb, n, bands). Out: (x, p, pb, ys, cs), the partners of x in one place,
+    ``rows``: (band, key, id, c, cs, p, pb, n, bands). Out: (x, p, pb, ys, cs), the partners of x in one place,
     with their components; x is of the smaller component. A pair counts in its first common band only.
+
+    A bucket's largest component (``main``) never meets itself: its blocks meet those of the other members only, which
+    meet each other too. One stray in a bucket of a million copies thus costs a million rows and not their square.
     """
     kind = rows.schema["id"].dataType.simpleString()
     id_type = to_arrow_type(rows.schema["id"].dataType)
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "mine", "id", "c", "cs", "p", "pb", "n", "bands")
+    each = rows.groupBy("band", "key", "c").agg(F.count("*").alias("m"))
+    room = each.groupBy("band", "key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"))
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    room = stage(room.select("band", "key", F.col("top.c").alias("main"), blocks(F.col("top.m")).alias("mains"), blocks(F.col("size") - F.col("top.m")).alias("others")), "block-counts")
+    hashed = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
+    met = lambda n, use: F.transform(F.sequence(F.lit(0), F.col(n) - 1), use)
+    pair = lambda x, y: F.struct(F.least(x, y).alias("b0"), F.greatest(x, y).alias("b1"))
+    mine = F.when(F.col("c") == F.col("main"), -1 - hashed("mains")).otherwise(hashed("others"))
+    here = rows.join(room.where("others > 0"), ["band", "key"]).withColumn("mine", mine)
+    with_others = met("others", lambda o: pair(F.col("mine"), o))
+    at = F.when(F.col("mine") < 0, with_others).otherwise(F.concat(with_others, met("mains", lambda m: pair(F.col("mine"), -1 - m))))
+    dealt = here.withColumn("at", F.explode(at)).select("band", "key", "at.b0", "at.b1", "mine", "id", "c", "cs", "p", "pb", "n", "bands")
     floor = least_estimate(percent / 100)
 
     def run(group: pa.Table) -> pa.Table:
@@ -208,34 +226,29 @@ def _links_across(shared: DataFrame, labelled: DataFrame, reps: DataFrame, docs:
     id_type = to_arrow_type(docs.schema["id"].dataType)
     mixed = stage(labelled.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1")).select("band", "key"), "mixed")
     rest = stage(labelled.join(mixed, ["band", "key"]), "rest")
+    if rest.isEmpty():
+        return rest.select(F.col("id").alias("a"), F.col("id").alias("b"))
     place = stage(rest.select("id", "c").distinct().join(shared.groupBy("id").agg(F.min("hub").alias("p")), "id"), "place")
     sizes = stage(place.groupBy("c").agg(F.count("*").alias("cs")), "component-sizes")
     room = stage(place.groupBy("p").agg(F.ceil(F.count("*") / PLACE).cast("int").alias("blocks")), "rooms")
     place = stage(place.join(sizes, "c").join(room, "p").select("id", "c", "cs", "p", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("pb")), "places")
-    found = stage(_candidates(rest.select("band", "key", "size", "id").join(place, "id").join(reps, "id"), percent), "candidates")
+    found = stage(_candidates(rest.select("band", "key", "id").join(place, "id").join(reps, "id"), percent), "candidates")
     parts = stage(found.groupBy("p", "pb").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("xn")), "parts")
     asked = found.join(parts, ["p", "pb"]).withColumn("xs", F.pmod(F.xxhash64("x", F.lit(5)), F.col("xn")).cast("int")).drop("xn")
     held = place.select("id", "p", "pb").join(parts, ["p", "pb"]).withColumn("xs", F.explode(F.sequence(F.lit(0), F.col("xn") - 1))).drop("xn")
     needed = stage(held.select("id").unionByName(found.select(F.col("x").alias("id"))).distinct().withColumnRenamed("id", "_id"), "needed")
-    sent = needed.count() <= MAX_SENT
-    texts = docs.join(F.broadcast(needed) if sent else needed.hint("merge"), F.col("id") == F.col("_id"), "left_semi")
-
-    def sets(batches):
-        hashes = WordHash()
-        for b in small_batches(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, size, hashes).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["id", "s"])
-
-    made = stage(texts.select("id", "text").mapInArrow(sets, f"id {kind}, s binary"), "sets")
+    made = _sets(docs, needed, size, "sets-across")
     asked = asked.join(made.select(F.col("id").alias("x"), "s"), "x").select(F.col("p").alias("qp"), F.col("pb").alias("qpb"), F.col("xs").alias("qxs"), F.col("x").alias("qx"), F.col("s").alias("qs"), F.col("ys").alias("qys"), F.col("cs").alias("qcs"))
     held = held.join(made, "id")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         own: dict = {}
-        for y, s in zip(left.column("id").to_pylist(), left.column("s").to_pylist(), strict=True):
-            own.setdefault(y, []).append(np.frombuffer(s, np.uint64))
+        for y, s in zip(left.column("id").to_pylist(), _lists(left.column("s")), strict=True):
+            own.setdefault(y, []).append(s)
         a, b = [], []
-        for x, s, ys, cs in zip(*(right.column(k).to_pylist() for k in ("qx", "qs", "qys", "qcs")), strict=True):
-            s, done = np.frombuffer(s, np.uint64), set()
+        xs, ys_of, cs_of = (right.column(k).to_pylist() for k in ("qx", "qys", "qcs"))
+        for x, s, ys, cs in zip(xs, _lists(right.column("qs")), ys_of, cs_of, strict=True):
+            done = set()
             for y, c in zip(ys, cs, strict=True):
                 if c in done:
                     continue
@@ -256,6 +269,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_shingles, component_id, kept) for each row: texts whose shingle sets are similar by ``percent`` or more are linked."""
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 80 percent or more")
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stage(_sketches(texts, shingle), "sketches")
     named = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stage
+from .common import as_bytes, bound_batches, small_batches, stage, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -41,7 +41,7 @@ class ChunkIds(dict):
     text's ids are those of its runs in order. Two generations of bounded size are kept.
     """
 
-    LIMIT = 400_000
+    LIMIT = 100_000
     #: Runs of these characters only are cut here, as the vocabulary's own pattern would cut them once in lower case; all others are left to the library.
     PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
     CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
@@ -111,12 +111,13 @@ def encoded(docs: DataFrame, *, id_col: str, text_col: str, path: str, end_id: i
             )
             start = int(ends[-1])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, part long, start long, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(encode), f"id {kind}, part long, start long, ids binary")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` (array<int>) if asked for."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kept = stage(encoded(docs, id_col=id_col, text_col=text_col, path=path or public_tokenizers.path(VOCABULARY), end_id=end_id), "packed-ids")
     totals = {r["part"]: r["n"] for r in kept.groupBy("part").agg(F.sum(F.length("ids") / 2).cast("long").alias("n")).collect()}
     bases, total = {}, 0
@@ -149,7 +150,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return kept.select("id", "part", "start", "ids").mapInArrow(cut, schema)
+    return kept.select("id", "part", "start", "ids").mapInArrow(tidy(cut), schema)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
