@@ -13,8 +13,8 @@ several words: pieces that overlap by two, so that every n-gram is read.
 Long texts are cut into chunks whose transfer matrices are multiplied first, so
 that forward-backward runs over all chunks of a batch at once and yet is exact.
 
-Training takes at most ``docs_per_language`` labelled texts of each language,
-those with the smallest hashes of their ids; every row is labelled.
+Training takes at most ``docs_per_language`` different labelled texts of each language,
+those with the smallest hashes of id and text; every row is labelled.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0;
 without labelled rows every text is; ties go to the language that sorts first;
@@ -131,10 +131,13 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     at = np.minimum(begin[:, None] + np.arange(CHUNK), n - 1)
     there = np.arange(CHUNK) < size[:, None]
     ec = e[at]
-    # transfer matrices of chunks, up to a factor
+    # transfer matrices of chunks, up to a factor; no transition leads to a text's first word
     p = np.broadcast_to(np.eye(k), (total, k, k)).copy()
     for t in range(CHUNK):
-        q = (p.reshape(-1, k) @ a).reshape(total, k, k) * ec[:, t, None, :]
+        q = (p.reshape(-1, k) @ a).reshape(total, k, k)
+        if t == 0:
+            q[inside == 0] = np.eye(k)
+        q *= ec[:, t, None, :]
         q /= q.sum((1, 2), keepdims=True)
         p = np.where(there[:, t, None, None], q, p)
     # states before and after chunks, all texts at once
@@ -158,7 +161,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     alpha = np.empty((total, CHUNK, k))
     s = before
     for t in range(CHUNK):
-        s = (s @ a) * ec[:, t]
+        s = (np.where((inside == 0)[:, None], s, s @ a) if t == 0 else s @ a) * ec[:, t]
         s = s / s.sum(1, keepdims=True)
         alpha[:, t] = s
     s = after
@@ -171,6 +174,32 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     return out / out.sum(1, keepdims=True)
 
 
+def expectations(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of short sequences laid end to end: the (n, L) probabilities of labels and the (L, L) expected numbers of transitions, the gradients of the log-partition functions."""
+    k, longest = scores.shape[1], int(lengths.max())
+    there = np.arange(longest) < lengths[:, None]
+    at = np.minimum((np.cumsum(lengths) - lengths)[:, None] + np.arange(longest), len(scores) - 1)
+    e = np.exp(scores - scores.max(1, keepdims=True))[at]
+    a = np.exp(transitions - transitions.max())
+    alpha, ahead = np.empty_like(e), np.empty_like(e)
+    s = e[:, 0]
+    for t in range(longest):
+        s = e[:, 0] if t == 0 else (s @ a) * e[:, t]
+        s = alpha[:, t] = s / s.sum(1, keepdims=True)
+    s = np.full((len(lengths), k), 1.0 / k)
+    pairs = np.zeros((k, k))
+    for t in reversed(range(longest)):
+        ahead[:, t] = s
+        if t:
+            message = e[:, t] * s
+            pair = alpha[:, t - 1, :, None] * a * message[:, None, :]
+            pairs += (pair / pair.sum((1, 2), keepdims=True))[there[:, t]].sum(0)
+            b = message @ a.T
+            s = np.where(there[:, t, None], b / b.sum(1, keepdims=True), s)
+    m = (alpha * ahead)[there]
+    return m / m.sum(1, keepdims=True), pairs
+
+
 def train(texts: list[str], labels: list[str], *, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.2, l2: float = 1e-5, min_lexicon: int = 3) -> Model:
     """Fit weights and transitions to texts whose words all bear the text's label, by AdaGrad on the conditional likelihood."""
     languages = sorted(set(labels))
@@ -202,17 +231,9 @@ def train(texts: list[str], labels: list[str], *, epochs: int = EPOCHS, batch: i
             lengths = np.array([len(s) for s in mine])
             flat = ids[np.concatenate(mine)]
             scores = w[flat].sum(1).astype(np.float64)
-            m = marginals(scores, lengths, tr)
-            grad = m.copy()
+            grad, gt = expectations(scores, lengths, tr)
             grad[np.arange(len(label)), label] -= 1
-            # expected transitions from neighbouring marginals and the local potentials
-            last = np.cumsum(lengths) - 1
-            go = np.ones(len(label), bool)
-            go[last] = False
-            u = np.flatnonzero(go)
-            pair = m[u][:, :, None] * np.exp(tr)[None] * (np.exp(scores[u + 1] - scores[u + 1].max(1, keepdims=True)))[:, None, :]
-            pair /= pair.sum(2, keepdims=True)
-            gt = pair.sum(0)
+            u = np.setdiff1d(np.arange(len(label)), np.cumsum(lengths) - 1)
             np.subtract.at(gt, (label[u], label[u + 1]), 1)
             scale = 1.0 / len(label)
             gw = np.stack([np.bincount(flat.ravel(), np.repeat(grad[:, c], flat.shape[1]), rows) for c in range(k)], 1).astype(np.float32) * np.float32(scale) + np.float32(l2) * w
@@ -275,18 +296,18 @@ def expected_words(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndar
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[list[str], list[str]]:
-    """At most ``most`` texts of each language, by the least hashes of their ids."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """At most ``most`` different texts of each language, those with the smallest hashes."""
+    text = F.col(text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return [], []
-    # a share of each language's hash range that holds some three times as many rows as are wanted
+    # a share of each language's hashes that holds some three times as many as are wanted: what tasks send is bounded in total
     edge = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_edge(n, most))))
-    near = known.where(F.col("h") <= F.element_at(edge, F.col("lang")))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= most).select("id", "lang")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ranked), "id").select("id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["lang"], str(r["id"]), r["text"] or ""))
-    return [r["text"] or "" for r in rows], [r["lang"] for r in rows]
+    near = known.where(F.col("h") <= F.element_at(edge, F.col("lang"))).dropDuplicates(["lang", "h"])
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most).select("lang", "text", "h")
+    rows = sorted(ranked.collect(), key=lambda r: (r["lang"], r["h"]))
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
@@ -321,8 +342,12 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with at least ``min_score``; without a model's languages all rows stay."""
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with at least ``min_score`` of its words; without a model's languages all rows stay.
+
+    Of four languages, texts of random letters have 0.32 (median; 0.34 at the third quartile), the most evenly mixed of
+    20,000 texts of real words 0.37, texts of one language 0.6 and more.
+    """
     if not model.languages:
         return docs
     bound_batches(docs.sparkSession)
