@@ -222,6 +222,15 @@ def test_pieces_are_those_of_the_pattern(text):
     assert [i for n in numbers for i in enc._core_bpe.encode_single_piece(words[n].encode())] == enc.encode_ordinary(text)
 
 
+def test_young_letters_are_left_to_the_tokenizer(spark):
+    assert not byte_bpe.young().search("".join(map(chr, range(0x80, 0x100)))) and not byte_bpe.has_young("日本語 русский 😀 œ")
+    enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS))
+    texts = ["a \u1c80b\u0378c's 12\U0001dfff", "the \ua7d0x " * 50, "plain"]
+    assert [byte_bpe.has_young(t) for t in texts] == [True, True, False]
+    rows = byte_bpe.encode_and_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["ids"], r["decoded"].decode()) for r in rows} == {i: (enc.encode_ordinary(t), t) for i, t in enumerate(texts)}
+
+
 def by_lines(rows, least):
     sites, first = collections.defaultdict(set), {}
     for i, t, site in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):

@@ -22,7 +22,9 @@ import base64
 import hashlib
 import pickle
 import re
+import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -34,11 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, partitions, small_batches, tidy
+from .common import as_bytes, bound_batches, partitions_for, small_batches, tidy
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 16 << 20
 BLOCK_WORDS = 250_000
+#: Input bytes for each bucket of words and each partition of blocks, so that tasks stay as large as they are while tables grow.
+PARTITION_BYTES = 32 << 20
+#: Before a text that is one word; in UTF-8 a byte that no text has.
+WHOLE = "\udcff"
 
 
 #: The pattern with white space spelt out: Python's ``\\s`` has control characters that the tokenizer's has not.
@@ -55,12 +61,33 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+@cache
+def young() -> re.Pattern:
+    """Finds characters that became letters, digits or spaces after Unicode 3.2, ceased to be, or may yet become: libraries may differ on them."""
+    kind = lambda db, c: db.category(c)[0] if db.category(c)[0] in "LNZ" else "-"
+    odd = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and (unicodedata.category(chr(i)) == "Cn" or kind(unicodedata, chr(i)) != kind(unicodedata.ucd_3_2_0, chr(i)))]
+    starts = [i for i, p in zip(odd, [-2, *odd], strict=False) if i != p + 1]
+    ends = [i for i, p in zip(odd, [*odd[1:], -2], strict=True) if i + 1 != p]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+def has_young(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return bool(young().search("".join(set(text))))
+
+
 class Splitter:
     """Numbers the distinct pre-tokens of a block and writes texts as their numbers.
 
     Where every space of a text stands before something that is not white space, the
     pattern's matches are those in its pieces cut before each space, so the numbers
     of pieces seen before are reused.
+
+    A text with a character that Unicode versions class differently is one word, which
+    the tokenizer cuts by itself.
     """
 
     def __init__(self) -> None:
@@ -75,6 +102,8 @@ class Splitter:
 
     def of(self, text: str) -> bytes:
         """Little-endian 32-bit numbers of the text's pre-tokens in order."""
+        if not text.isascii() and has_young(text):
+            return np.array([self.numbers.setdefault(WHOLE + text, len(self.numbers))], "<u4").tobytes()
         if self.gap(text):
             return self._of(text)
         first, *rest = text.split(" ")
@@ -98,7 +127,7 @@ def _pack_block(ids: list, texts: list[bytes], words: list[str]) -> bytes:
     order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.uint32)
     rank[order] = np.arange(len(words), dtype=np.uint32)
-    raw = [words[i].encode() for i in order]
+    raw = [words[i].encode("utf-8", "surrogateescape") for i in order]
     return pickle.dumps((ids, [len(t) // 4 for t in texts], _pack_numbers(rank[numbers]), zstandard.compress(b"".join(raw)), zstandard.compress(np.array([len(w) for w in raw], "<u4").tobytes())))
 
 
@@ -153,7 +182,8 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
     """(block, bucket, ids): a bucket's rows come together, and each of its distinct words is encoded once."""
 
     def encode(batches):
-        single, now, known = encoding(path)._core_bpe.encode_single_piece, None, {}
+        enc, mark, now, known = encoding(path), WHOLE.encode("utf-8", "surrogateescape"), None, {}
+        single = enc._core_bpe.encode_single_piece
         for b in batches:
             out = []
             for bucket, n, packed in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -162,7 +192,7 @@ def _encode_words(words: DataFrame, path: str) -> DataFrame:
                 mine = _unpack_words(packed, n)
                 for w in mine:
                     if w not in known:
-                        known[w] = np.array(single(w), "<u2").tobytes()
+                        known[w] = np.array(enc.encode_ordinary(w[1:].decode()) if w[:1] == mark else single(w), "<u2").tobytes()
                 out.append(_pack_words([known[w] for w in mine]))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
@@ -173,7 +203,7 @@ def encode_and_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """For each row its id, n_tokens, and ids (array<int>) and decoded (binary), or with ``digests`` ids_sha256 and decoded_sha256."""
     path = path or public_tokenizers.path(RANKS)
     bound_batches(docs.sparkSession)
-    n = partitions(docs.sparkSession)
+    n = partitions_for(docs, PARTITION_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = _blocks(docs, id_col, text_col, block_bytes).repartition(n, "block")
 
