@@ -34,13 +34,23 @@ def test_cascade_is_exact(spark):
     wrong = keys.where(cascade.contains(F.col("key")) != (F.expr("cast(substring(key, 2) as int) % 3 = 0")))
     assert wrong.count() == 0 and spark.range(1).select(cascade.contains(F.lit(None).cast("string"))).first()[0] is False
     with pytest.raises(url_cascade.CascadeTooLarge):
-        url_cascade.build_cascade(listed, keys, max_bits=1024)
-    for most in (url_cascade.MAX_BITS, 1024):
-        assert url_cascade.mark_listed(keys, "key", listed, max_bits=most).where("is_listed").count() == 2000
+        url_cascade.build_cascade(listed, keys, max_bits=8192)
+    for most in (url_cascade.MAX_BITS, 8192):
+        marked = url_cascade.mark_listed(keys.unionByName(spark.createDataFrame([(None,)], "key string")), "key", listed, max_bits=most)
+        assert marked.count() == 6001 and marked.where("is_listed").count() == 2000
+        assert marked.where("is_listed").join(listed, "key", "left_anti").count() == 0
     assert not url_cascade.build_cascade(listed.limit(0), keys.limit(0)).contains(F.lit("x")) is None
     assert keys.where(url_cascade.build_cascade(listed.limit(0), keys).contains(F.col("key"))).count() == 0
 
 
+def test_layout_holds_for_any_size():
+    for n in (0, 23, 10**6, 10**9):
+        for others in (0, 10**6, 10**12):
+            shards, bits = url_cascade.layout(n, others, url_cascade.MAX_BITS)
+            assert 256 <= bits <= url_cascade.MAX_BITS and n / shards * url_cascade.BITS_PER_KEY <= url_cascade.MAX_BITS
+    assert url_cascade.layout(23, 10**12, url_cascade.MAX_BITS)[0] == 1
+
+
 URLS = [None, "", "no scheme", "http://", "://?x", "HTTP://A.B.COM", "x://example.com/en/7", "x://m.example.com/en/745?q#f", "x://com/en/", "x://com/en", "x://xexample.com/en/7", "x://example.net/de/8", "x://sub.org/es/a/b", "x://free-bets.example.net/", "x://a.free-bets.example.net", "x://not-free-bets.example.net/q", "x://a\nb.com/en/\n?", "x://" + "a." * 20_000 + "com/en/" + "y" * 20_000, "x://É.COM/en/"]
 
 

@@ -6,8 +6,12 @@ through, and so on until no mistake is left. Over the universe the cascade is
 thus exact, and a probe is a few bit tests on literals: no join.
 
 The filters are sent to every task, so their size is checked: a level takes at
-most ``max_bits`` bits. ``build_cascade`` refuses a larger list with
-``CascadeTooLarge``, and ``mark_listed`` then marks rows by a shuffled join.
+most ``max_bits`` bits. A small list gets more bits a key where the universe is
+large, so that few mistakes are left for the next level. A list or universe that is
+too large for one cascade is cut into shards by a hash of the key; ``mark_listed``
+then passes over the rows once for each shard, with that shard's cascade alone.
+However long the list, there is no join and no task holds more than one level's bits
+a level.
 
 Defined cases: a null key is never listed; keys may repeat; an empty list or an
 empty universe gives a cascade that lists nothing. A null url or one without
@@ -18,6 +22,7 @@ results; an empty table gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +32,11 @@ from .common import ascii_lower, stage
 
 BITS_PER_KEY = 12
 HASHES = 5
-MAX_BITS = 1 << 23
+MAX_BITS = 1 << 24
 
 
 class CascadeTooLarge(ValueError):
-    """A level would take more bits than may be sent to every task."""
+    """One cascade would take more bits than may be sent to every task."""
 
 
 @dataclass(frozen=True)
@@ -83,11 +88,22 @@ class Cascade:
         return F.when(key.isNotNull(), out).otherwise(F.lit(False))
 
 
-def _filter(keys: DataFrame, n: int, level: int, max_bits: int) -> Level:
-    """One Bloom filter of ``n`` distinct keys in the column ``key``; its words, of bounded number, come to the driver."""
-    bits = max(256, -(-n * BITS_PER_KEY // 64) * 64)
-    if bits > max_bits:
-        raise CascadeTooLarge(f"{n} keys need {bits} bits; {max_bits} may be sent to every task")
+def layout(n: int, universe: int, max_bits: int) -> tuple[int, int]:
+    """Shards, and bits of their first level, for ``n`` listed keys among ``universe`` others."""
+    shards = 1
+    while True:
+        mine, others = n / shards, universe / shards
+        bits = max(256, -(-math.ceil(mine * BITS_PER_KEY) // 64) * 64)
+        mistaken = lambda bits, mine=mine, others=others: others * (1 - math.exp(-HASHES * mine / bits)) ** HASHES * BITS_PER_KEY
+        while 2 * bits <= max_bits and mistaken(bits) > bits:
+            bits *= 2
+        if bits <= max_bits and mistaken(bits) <= max_bits:
+            return shards, bits
+        shards *= 2
+
+
+def _filter(keys: DataFrame, bits: int, level: int) -> Level:
+    """One Bloom filter of the keys in the column ``key``; its words, of bounded number, come to the driver."""
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, level))).alias("p"))
     rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).collect()
     words = ["0"] * (bits // 64)
@@ -96,10 +112,15 @@ def _filter(keys: DataFrame, n: int, level: int, max_bits: int) -> Level:
     return Level(bits, ",".join(words))
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, *, max_bits: int = MAX_BITS, max_levels: int = 24) -> Cascade:
-    """A cascade for the column ``key`` of ``listed``, exact over the keys of both frames."""
+def _keys(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, listed), each key once, and the numbers of keys that are listed and not."""
     both = listed.select("key", F.lit(1).alias("l")).unionByName(universe.select("key", F.lit(0).alias("l")))
     keys = stage(both.where(F.col("key").isNotNull()).groupBy("key").agg((F.max("l") == 1).alias("listed")), "url-keys")
+    n = {r["listed"]: r["count"] for r in keys.groupBy("listed").count().collect()}
+    return keys, n.get(True, 0), n.get(False, 0)
+
+
+def _cascade(keys: DataFrame, bits: int, max_bits: int, max_levels: int) -> Cascade:
     levels: list[Level] = []
     inside = {side: keys.where(F.col("listed") == side) for side in (True, False)}
     while True:
@@ -107,21 +128,38 @@ def build_cascade(listed: DataFrame, universe: DataFrame, *, max_bits: int = MAX
         n = inside[side].count()
         if n == 0 and levels:
             return Cascade(tuple(levels))
-        if len(levels) == max_levels:
-            raise CascadeTooLarge(f"{n} keys are still mistaken after {max_levels} levels")
-        level = _filter(inside[side], n, len(levels), max_bits)
+        if len(levels) == max_levels or 2 * n > max_bits:
+            raise CascadeTooLarge(f"{n} keys are still mistaken after {len(levels)} levels")
+        bits = bits if not levels else min(max_bits, max(256, -(-n * BITS_PER_KEY // 64) * 64))
+        level = _filter(inside[side], bits, len(levels))
         inside[not side] = inside[not side].where(level.passes(F.col("key"), len(levels)))
         levels.append(level)
 
 
-def mark_listed(rows: DataFrame, key_col: str, listed: DataFrame, *, max_bits: int = MAX_BITS, out: str = "is_listed") -> DataFrame:
-    """``rows`` with a boolean: by a cascade over their own keys, or by a shuffled join where the list is too large to send."""
-    try:
-        cascade = build_cascade(listed, rows.select(F.col(key_col).alias("key")), max_bits=max_bits)
-        return rows.withColumn(out, cascade.contains(F.col(key_col)))
-    except CascadeTooLarge:
-        mark = listed.where(F.col("key").isNotNull()).select(F.col("key").alias("_listed_key")).distinct().hint("merge")
-        return rows.join(mark, F.col(key_col) == F.col("_listed_key"), "left").withColumn(out, F.col("_listed_key").isNotNull()).drop("_listed_key")
+def build_cascade(listed: DataFrame, universe: DataFrame, *, max_bits: int = MAX_BITS, max_levels: int = 24) -> Cascade:
+    """One cascade for the column ``key`` of ``listed``, exact over the keys of both frames; ``CascadeTooLarge`` if it takes several."""
+    keys, n, others = _keys(listed, universe)
+    shards, bits = layout(n, others, max_bits)
+    if shards > 1:
+        raise CascadeTooLarge(f"{n} keys among {others} take {shards} cascades of levels of {max_bits} bits")
+    return _cascade(keys, bits, max_bits, max_levels)
+
+
+def mark_listed(rows: DataFrame, key_col: str, listed: DataFrame, *, max_bits: int = MAX_BITS, max_levels: int = 24, out: str = "is_listed") -> DataFrame:
+    """``rows`` with a boolean, by cascades that are exact over their own keys: one pass over the rows for each shard of the list."""
+    key = F.col(key_col)
+    keys, n, others = _keys(listed, rows.select(key.alias("key")))
+    shards, bits = layout(n, others, max_bits)
+    if shards == 1:
+        return rows.withColumn(out, _cascade(keys, bits, max_bits, max_levels).contains(key))
+    shard = lambda k: F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(shards))
+    dealt = stage(keys.withColumn("shard", shard(F.col("key"))), "sharded-keys")
+    rows = rows.withColumn(out, F.lit(False))
+    for i in range(shards):
+        mine = F.coalesce(shard(key) == i, F.lit(False))
+        cascade = _cascade(dealt.where(F.col("shard") == i), bits, max_bits, max_levels)
+        rows = stage(rows.withColumn(out, F.when(mine, cascade.contains(key)).otherwise(F.col(out))), "marked-rows")
+    return rows
 
 
 def host_of(url: Column) -> Column:
