@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import core, records
+from .plans import core, documents, records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.Q | records.Q
+    return core.Q | records.Q | documents.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.SQL | records.SQL
+    return core.SQL | records.SQL | documents.SQL

@@ -1,9 +1,9 @@
 """Mutation candidates from Go source text, as a table-generating function.
 
-A lexer and bracket matching stand in for a parser. Families that need types,
-scopes or call graphs (return values, statement deletion, error returns, slice
-bounds, condition negation) and the proofs of equivalence are left out: what is
-not proposed cannot be wrong, and nothing is claimed to be equivalent.
+A lexer and bracket matching stand in for a parser, and scopes are judged by name:
+a file that declares a ``true`` or ``false`` of its own gets no mutations of those.
+Two proofs of equivalence are made (``structure``), both on exact shapes; results
+that every call site discards are left to ``operators.discards``, which sees all files.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import structure
 from .diffs import unified_diff
 
-FAMILIES = ("boundary", "boolean", "connective", "arithmetic", "relational", "switch", "loop", "assignment", "literal", "channel")
+FAMILIES = ("boundary", "boolean", "connective", "arithmetic", "relational", "returnvalue", "condition", "errorreturn", "statement", "bounds", "switch", "loop", "assignment", "literal", "channel")
 DEFAULT_FAMILIES = ("boundary", "boolean")
 _TOKEN = re.compile(
     rb"(?P<space>[ \t\r\n]+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`)|(?P<char>'(?:[^'\\\n]|\\.)+')"
@@ -35,6 +36,7 @@ _SWAPS = {
     "connective": {b"&&": b"||", b"||": b"&&"}, "incdec": {b"++": b"--", b"--": b"++"}, "assign": {b"+=": b"-=", b"-=": b"+=", b"*=": b"/=", b"/=": b"*="},
 }
 _INT64 = (1 << 63) - 1
+OUT_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,8 @@ class Candidate:
     end: int
     replacement: bytes
     description: str
+    suggestion: str = ""
+    equivalent: str | None = None
 
 
 def tokens(source: bytes) -> list[Token]:
@@ -173,6 +177,12 @@ class _Source:
         return j - 1
 
 
+def boolean_case(op: bytes, kept: str, dropped: str) -> str:
+    """The case that tells a conjunction or disjunction from one of its operands."""
+    a, b, whole = ("true", "false", "conjunction stays false") if op == b"&&" else ("false", "true", "disjunction stays true")
+    return f"add a case where {kept} is {a} and {dropped} is {b}, and assert that the {whole}"
+
+
 def candidates(source: bytes, families: tuple[str, ...] = DEFAULT_FAMILIES) -> Iterator[Candidate]:
     """Candidates of one file in no particular order; source that cannot be read as tokens gives none."""
     try:
@@ -180,12 +190,16 @@ def candidates(source: bytes, families: tuple[str, ...] = DEFAULT_FAMILIES) -> I
     except ValueError:
         return
     t, want = s.t, set(families)
+    shape, more = structure.candidates(s, want)
+    for f in more:
+        yield Candidate(f.family, f.rule, f.start, f.end, f.text, f.description, f.suggestion)
     text = lambda a, b: source[t[a].start : t[b].end]
     show = lambda b: " ".join(b.decode("utf-8", "replace").split())
 
     def swap(family: str, table: str, rule: str, i: int, what: str) -> Iterator[Candidate]:
         if family in want and (new := _SWAPS[table].get(t[i].text)) is not None:
-            yield Candidate(family, rule, t[i].start, t[i].end, new, f"replace {what} {show(t[i].text)} with {show(new)}")
+            told = f"add a case where {show(text(s.left(i, 3), i - 1))} equals {show(text(i + 1, s.right(i, 3)))}" if family == "boundary" else f"add a case that tells {show(t[i].text)} from {show(new)}"
+            yield Candidate(family, rule, t[i].start, t[i].end, new, f"replace {what} {show(t[i].text)} with {show(new)}", told, shape.equivalent.get(i) if family == "boundary" else None)
 
     for i, x in enumerate(t):
         if x.kind == "op":
@@ -200,9 +214,9 @@ def candidates(source: bytes, families: tuple[str, ...] = DEFAULT_FAMILIES) -> I
                     a, b = s.left(i, low), s.right(i, low)
                     if a < i < b + 1 and "boolean" in want:
                         left, right = text(a, i - 1), text(i + 1, b)
-                        yield Candidate("boolean", "BOOL-DROP-RIGHT", t[a].start, t[b].end, b"(" + left + b")", f"delete the right operand of {show(x.text)}")
-                        yield Candidate("boolean", "BOOL-DROP-LEFT", t[a].start, t[b].end, b"(" + right + b")", f"delete the left operand of {show(x.text)}")
-                    if i not in s.conditions and text(a, i - 1) != text(i + 1, b):
+                        yield Candidate("boolean", "BOOL-DROP-RIGHT", t[a].start, t[b].end, b"(" + left + b")", f"delete the right operand of {show(x.text)}", boolean_case(x.text, show(left), show(right)))
+                        yield Candidate("boolean", "BOOL-DROP-LEFT", t[a].start, t[b].end, b"(" + right + b")", f"delete the left operand of {show(x.text)}", boolean_case(x.text, show(right), show(left)))
+                    if i not in s.conditions and i not in shape.no_swap and text(a, i - 1) != text(i + 1, b):
                         yield from swap("connective", "connective", "CONN-SWAP", i, "connective")
             if x.text == b"!" and "boolean" in want and i + 1 < len(t) and not s.ends_operand(i - 1 if i else 0):
                 j = i + 1
@@ -216,9 +230,9 @@ def candidates(source: bytes, families: tuple[str, ...] = DEFAULT_FAMILIES) -> I
             if i not in s.posts:
                 yield from swap("assignment", "incdec", "ASSIGN-INCDEC", i, "step")
                 yield from swap("assignment", "assign", "ASSIGN-OP", i, "assignment")
-        elif x.kind == "name" and x.text in (b"true", b"false") and "boolean" in want and not (i and t[i - 1].text == b"."):
+        elif x.kind == "name" and x.text in (b"true", b"false") and "boolean" in want and not shape.shadowed and not (i and t[i - 1].text == b"."):
             new = b"false" if x.text == b"true" else b"true"
-            yield Candidate("boolean", "BOOL-LITERAL", x.start, x.end, new, f"replace {show(x.text)} with {show(new)}")
+            yield Candidate("boolean", "BOOL-LITERAL", x.start, x.end, new, f"replace {show(x.text)} with {show(new)}", "assert what depends on this value", shape.equivalent.get(i))
         elif x.kind == "number" and "literal" in want and i not in s.conditions and i not in s.posts and re.fullmatch(rb"0|[1-9][0-9]*", x.text):
             n = int(x.text)
             if n < _INT64:
@@ -290,11 +304,12 @@ def mutation_rows(file: str, source: bytes, families: tuple[str, ...], changed:
         out.append({
             "id": "M-" + hashlib.sha256(key.encode()).hexdigest()[:12], "operator": c.family, "rule_id": c.rule, "file": file, "start_byte": c.start, "end_byte": c.end, "start_line": l0, "start_column": c0,
             "end_line": l1, "end_column": c1, "original": show(original), "replacement": show(c.replacement), "description": c.description,
+            "suggestion": c.suggestion, "equivalent_reason": c.equivalent,
         })
     return sorted(out, key=lambda r: (r["start_byte"], r["id"]))
 
 
-ROW = "id string, operator string, rule_id string, file string, start_byte long, end_byte long, start_line long, start_column long, end_line long, end_column long, original string, replacement string, description string"
+ROW = "id string, operator string, rule_id string, file string, start_byte long, end_byte long, start_line long, start_column long, end_line long, end_column long, original string, replacement string, description string, suggestion string, equivalent_reason string"
 
 
 def discover(sources: DataFrame, *, file: str = "file", source: str = "source", families: tuple[str, ...] = DEFAULT_FAMILIES, changed: DataFrame | None = None) -> DataFrame:
@@ -311,11 +326,23 @@ def discover(sources: DataFrame, *, file: str = "file", source: str = "source",
     def run(batches):
         schema = pa.schema([(n, pa.int64() if "byte" in n or "line" in n or "column" in n else pa.string()) for n in names])
         for b in batches:
+            made: list[dict] = []
             for f, src, lines in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if src is not None:
-                    yield pa.RecordBatch.from_pylist(mutation_rows(f, src, families, None if lines is None else set(lines)), schema)
+                    made += mutation_rows(f, src, families, None if lines is None else set(lines))
+                if len(made) >= OUT_ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
+
+    return spread(rows.select("file", "source", "lines")).mapInArrow(run, ROW)
+
 
-    return rows.select("file", "source", "lines").mapInArrow(run, ROW)
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many partitions as there are cores, where one or few files have left them in fewer: the work on a row is dear."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
 def with_diffs(mutations: DataFrame, sources: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def log_line(c: Column) -> Column:
 
 
 def split_comma(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def failing_tests(c: Column) -> Column:

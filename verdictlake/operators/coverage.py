@@ -53,7 +53,7 @@ def covering_tests_strict(possible: DataFrame, profiles: DataFrame, *, span: str
     """
     seen = profiles.groupBy(span, package).agg(
         F.bool_or(F.col(covered).isNull()).alias("_unknown"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col(covered), F.array(test)).otherwise(F.array().cast("array<string>"))))).alias("_tests"),
+        F.collect_set(F.when(F.col(covered), F.col(test))).alias("_tests"),
     )
     joined = possible.select(span, package).distinct().join(seen, [span, package], "left")
     out = joined.groupBy(span).agg(

@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+LONG_SPAN = 64
+
 
 def on_changed_lines(spans: DataFrame, changed: DataFrame | None, *, file: str = "file", start: str = "start_line", end: str = "end_line", line: str = "line") -> DataFrame:
-    """Spans that touch a changed line of their file; line 0 stands for the whole file. Without ``changed`` all stay."""
+    """Spans that touch a changed line of their file; line 0 stands for the whole file. Without ``changed`` all stay.
+
+    A span asks for its own lines by equality, so that a file with very many changed lines is never scanned for each of
+    its spans; spans of more than ``LONG_SPAN`` lines, which are few, meet the file's lines by their range.
+    """
     if changed is None:
         return spans
-    c = changed.select(F.col(file).alias("_f"), F.col(line).alias("_l"))
-    return spans.join(c, (F.col(file) == F.col("_f")) & ((F.col("_l") == 0) | F.col("_l").between(F.col(start), F.col(end))), "left_semi")
+    c = changed.select(F.col(file).alias("_f"), F.col(line).alias("_l")).distinct()
+    long = F.col(end) - F.col(start) >= LONG_SPAN
+    held = spans.withColumn("_span", F.struct(*spans.columns))
+    asked = F.concat(F.array(F.lit(0).cast("bigint")), F.when(long | (F.col(end) < F.col(start)), F.array().cast("array<bigint>")).otherwise(F.sequence(F.col(start).cast("bigint"), F.col(end).cast("bigint"))))
+    spots = held.select("_span", F.explode(F.array_distinct(asked)).alias("_at"))
+    touched = spots.join(c, (F.col(f"_span.{file}") == F.col("_f")) & (F.col("_at") == F.col("_l")), "left_semi").select("_span").distinct()
+    by_line = touched.select("_span").withColumn("_one", F.lit(1))
+    near = held.where(~long | long.isNull()).join(by_line.select(F.col("_span").alias("_s")), F.col("_span").eqNullSafe(F.col("_s")), "left_semi")
+    whole = F.col("_l") == 0
+    far = held.where(long).join(c, (F.col(file) == F.col("_f")) & (whole | F.col("_l").between(F.col(start), F.col(end))), "left_semi")
+    return near.unionByName(far).select(*spans.columns)
 
 
 def changed_lines(tracked: DataFrame, untracked: DataFrame, *, file: str = "file", line: str = "line") -> DataFrame:
