@@ -147,6 +147,16 @@ def test_recall_of_larger_tables(spark):
     assert np.mean([r["vec_id"] in want[r["query_id"]] for r in found]) >= 0.9 and len(found) == 300
 
 
+def test_what_failed_writes_leave_is_not_read(spark, tmp_path):
+    folder = tmp_path / "archive"
+    folder.mkdir()
+    record = warc.gzip_member(warc.record_bytes({"record_type": "response", "record_id": "<urn:page:1>", "payload": b"x" * 3_000_000, "payload_digest": hashlib.sha1(b"x" * 3_000_000).hexdigest()}, "2024-01-01T00:00:00Z"))
+    (folder / "a.warc.gz").write_bytes(record)
+    assert warc.read_warc(spark, f"file://{folder}").select(F.octet_length("payload")).first()[0] == 3_000_000
+    (folder / warc.MARK).write_bytes(b"")
+    assert warc.read_warc(spark, f"file://{folder}").count() == 0
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [0.0, 1.0]), (100, [1.0, 0.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("v", F.lit(1))

@@ -8,8 +8,8 @@ payload is neither inflated nor decoded. ``payload=false`` skips all payloads.
 
 Writing makes one gzip member for each record in files of bounded size. A task
 writes under names of its own attempt; only the commit on the driver lists them
-in a manifest, and only listed files are read, so a lost or repeated task leaves
-no records behind.
+in a manifest, and only listed files are read, so a lost or repeated task and a
+write that failed leave no records behind. Folders of other writers are read whole.
 
 Defined cases: a null payload is empty; a null url leaves the field out; line
 breaks in header values are percent-encoded; an empty table gives an archive
@@ -48,6 +48,8 @@ FILE_BYTES = 128 << 20
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 MIN_PAYLOAD = 1000
+#: In a folder that this writer has begun to write.
+MARK = "_written-by-tasks"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -108,6 +110,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         where, top = _open(self.path)
         where.create_dir(top, recursive=True)
+        where.open_output_stream(f"{top}/{MARK}").close()  # from now on only what is committed counts
         names: list[str] = []
         out = None
         try:
@@ -169,7 +172,7 @@ class _Member:
     """A gzip member or a plain file's bytes, unpacked as far as asked for."""
 
     def __init__(self, file, packed: bool):
-        self.file, self.packed, self.data, self.rest = file, packed, b"", b""
+        self.file, self.packed, self.data, self.rest = file, packed, bytearray(), b""
         self.inflater = zlib.decompressobj(-15) if packed else None
 
     def need(self, n: int) -> bool:
@@ -238,7 +241,7 @@ class Records:
                 member = _Member(self.file, True)
             else:
                 member, length = _Member(self.file, False), 0
-                member.data = carry
+                member.data = bytearray(carry)
                 if not member.need(1):
                     return
             row, size = self._headers(member)
@@ -249,7 +252,7 @@ class Records:
                     if self.payloads and row["record_type"] != "revisit":
                         if not member.need(head + block):
                             raise ValueError("a record ends too early")
-                        row["payload"] = member.data[head + http : head + block]
+                        row["payload"] = bytes(member.data[head + http : head + block])
                         self.unpacked += 1
                     yield row
                 else:
@@ -258,14 +261,14 @@ class Records:
                 if length:
                     at += length
                 else:  # unpack to the end, keeping nothing
-                    member.data = b""
+                    member.data.clear()
                     while member.need(1):
-                        member.data = b""
+                        member.data.clear()
                     at = self.file.tell() - len(member.inflater.unused_data) + 8
             else:
                 total = size[0] + size[2] + 4 if row is not None else len(member.data)
                 member.need(total)
-                carry = member.data[total:]
+                carry = bytes(member.data[total:])
 
     def _headers(self, member: _Member) -> tuple[dict | None, tuple[int, int, int]]:
         n = 1
@@ -273,7 +276,7 @@ class Records:
             n = len(member.data) + 1
             if not member.need(n):
                 return None, (0, 0, 0)
-        fields = parse_headers(member.data[:end])
+        fields = parse_headers(bytes(member.data[:end]))
         head, block = end + 4, int(fields.get("content-length", 0))
         row: dict = {k: fields.get(v) for k, v in FIELDS.items()}
         row["payload_digest"] = _digest_hex(row["payload_digest"])
@@ -284,7 +287,7 @@ class Records:
                 member.need(len(member.data) + 1)
             if 0 <= cut < head + block:
                 http = cut + 4 - head
-                told = parse_headers(member.data[head:cut]).get("content-length")
+                told = parse_headers(bytes(member.data[head:cut])).get("content-length")
                 row["payload_length"] = int(told) if row["record_type"] == "revisit" and told else block - http
         return row, (head, http, block)
 
@@ -311,7 +314,7 @@ class WarcReader(DataSourceReader):
         where, top = _open(self.path)
         files = {f.base_name: f for f in where.get_file_info(fs.FileSelector(top)) if f.type == fs.FileType.File}
         listed = [n for n in files if n.startswith("_manifest-")]
-        names = sorted({x for n in listed for x in json.loads(where.open_input_stream(f"{top}/{n}").read())}) if listed else sorted(n for n in files if n.endswith((".warc", ".warc.gz")))
+        names = sorted({x for n in listed for x in json.loads(where.open_input_stream(f"{top}/{n}").read())}) if listed or MARK in files else sorted(n for n in files if n.endswith((".warc", ".warc.gz")))
         parts: list[Part] = []
         room = 0
         for n in names:
