@@ -334,6 +334,41 @@ def test_revealing_terms(spark):
     assert clean[300] == "<TERM>? <TERM>! <EMAIL>" and clean[100] == rows[8][1] and "the writer <EMAIL>" in clean[0]
 
 
+def test_disclosure_against_brute_force(spark):
+    """Every count and every span of terms, over texts with copies, several entities and words of all frequencies."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)]
+    texts = []
+    for i in range(400):
+        e, held = int(rng.integers(0, 12)), rng.random() < 0.5
+        words = list(rng.choice(vocabulary, 8)) + ([f"close{'abcdefghijkl'[e]}"] if rng.random() < (0.7 if held else 0.1) else [])
+        rng.shuffle(words)
+        texts.append(" ".join(words) + (f" m{e}@x.org" if held else ""))
+    texts += texts[:90] + [None, ""]
+    rows = list(enumerate(texts))
+    different = {t or "" for t in texts}
+    mails = {t: set(re.findall(r"m\d+@x\.org", t)) for t in different}
+    terms = {t: {w for w in re.split(r"[^a-z]+", t) if len(w) >= 3} for t in different}
+    n, told = len(different), {}
+    for e in set().union(*mails.values()):
+        with_e = [t for t in different if e in mails[t]]
+        if len(with_e) < sanitise.MIN_CONTEXTS:
+            continue
+        for w in set().union(*(terms[t] for t in with_e)):
+            n_t, n_te = sum(w in terms[t] for t in different), sum(w in terms[t] for t in with_e)
+            if n_te >= sanitise.MIN_CONTEXTS and np.log2(n * n_te / (n_t * len(with_e))) >= sanitise.DISCLOSURE * np.log2(n / len(with_e)):
+                for t in with_e:
+                    if w in terms[t]:
+                        told.setdefault(t, set()).add(w)
+    assert len(told) > 20
+    for r in sanitise.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = texts[r["doc_id"]] or ""
+        base = [(m.start(), m.end()) for m in re.finditer(r"m\d+@x\.org", t)]
+        found = [(m.start(), m.end()) for m in re.finditer(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])", t) if m[0] in told.get(t, ()) and not any(a < m.end() and m.start() < b for a, b in base)]
+        want = sorted([(a, 0, f"email:{a}:{b}") for a, b in base] + [(a, 4, f"term:{a}:{b}") for a, b in found])
+        assert r["spans"] == ",".join(x[2] for x in want), (t, r["spans"])
+
+
 def test_terms_of_one_phrase(spark):
     """A name that always stands in the same signature reveals the address, in however many different documents; in copies of one document it does not."""
     rows = [(i, f"page {i} ends\nregards, Zorblax bob@x.org") for i in range(9)] + [(100 + i, f"regards from page {i}") for i in range(60)] + [(400 + i, "regards, Quixel ann@y.org") for i in range(9)]

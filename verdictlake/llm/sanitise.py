@@ -142,8 +142,10 @@ def revealing_terms(docs: DataFrame, *, min_contexts: int = MIN_CONTEXTS, disclo
     counted = near.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     telling = stage(counted.where((F.col("n_te") >= min_contexts) & (pmi >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term"), "telling")
-    told = near.join(telling, ["entity", "term"]).select("key", "term")
-    return stage(held.where(F.col("id").isNotNull()).select("id", "key").distinct().join(told, "key").groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "disclosing")
+    # a text's terms come together before they meet its copies: a row for each document, and not for each of its terms
+    told = near.join(telling, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("terms"))
+    each = held.where(F.col("id").isNotNull()).select("id", "key").distinct().join(told, "key")
+    return stage(each.groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms")), "disclosing")
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_contexts: int, disclosure: float) -> DataFrame:
