@@ -1,10 +1,14 @@
 """Guards of discovery, discarded results, spools and gates."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from verdictlake.functions.discover import FAMILIES, mutation_rows
 from verdictlake.operators import assemble, discards, select, spool
+from verdictlake.sinks import history, report
+from verdictlake.sources import config
 
 
 def rules(body: str, *families: str) -> list[tuple[str, str, str]]:
@@ -107,3 +111,46 @@ def test_changed_lines_of_long_and_odd_spans(spark):
 def test_gate(spark):
     compared = spark.createDataFrame([("new_survivors",), ("unchanged",)], "bucket string")
     assert assemble.new_survivor_gate(compared) == 10 and assemble.new_survivor_gate(compared.where("bucket = 'unchanged'")) == 0
+
+
+def _results(spark):
+    rows = [(0, "M-1", "KILLED", "a.go"), (1, "M-2", "SURVIVED", "b<.go"), (2, "M-3", "EQUIVALENT", "c.go"), (3, "M-4", "SURVIVED", "a.go")]
+    df = spark.createDataFrame(rows, "ordinal long, id string, verdict string, file string")
+    extra = {"start_line": F.lit(3), "start_column": F.lit(1), "rule_id": F.lit("R"), "description": F.lit("swap"), "suggestion": F.lit("try"), "diff": F.lit("-a\n+b\n"), "equivalent_reason": F.lit("proof")}
+    extra |= {"coverage_known": F.lit(True), "covered_by_selected_tests": F.lit(True), "cached": F.lit(False), "responsible_tests": F.array(F.lit("T")), "responsible_assertions": F.lit(None).cast("array<struct<test:string>>"), "responsible_panics": F.lit(None).cast("array<struct<test:string>>")}
+    return df.withColumns(extra)
+
+
+HEADER = {"tool_version": "1", "complete": False, "patterns": ["./..."], "bounds": {"max_mutants": 4}, "warnings": ["w&"], "semantics": ["s"], "summary": {k: 1 for k in (*report.findings.MESSAGES, "generated", "killed", "survived", "invalid", "timeout", "unknown", "unsupported", "equivalent")} | {"score_text": "50.0%"}, "timing": {"parsing_ms": 1, "baseline_ms": 1, "execution_ms": 1, "rendering_ms": 0, "total_ms": 3}}
+
+
+def test_pages(spark):
+    out: list[str] = []
+    header = report.measured(lambda h, w: report.render(_results(spark), h, "html", w, tool="t"), HEADER, out.append, iter([1.0, 1.5]).__next__)
+    page = "".join(out)
+    assert header["timing"]["rendering_ms"] == 500 and "500 ms" in page and "Incomplete" in page and "w&amp;" in page
+    at = [page.index(x) for x in ("Survivors", "M-2", "M-4", "Noticed by a test", "M-1", "Proved to change nothing", "proof")]
+    assert at == sorted(at) and "b&lt;.go" in page and page.count("suggested test") == 2
+
+
+def test_documents_in_pieces(spark):
+    rows = _results(spark).withColumnRenamed("ordinal", "seq")
+    doc = json.loads(report.findings.sarif(rows, tool="t", version="1"))
+    assert [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in doc["runs"][0]["results"]] == ["b<.go", "a.go"]
+    compared = spark.createDataFrame([("new_survivors", "a", "x.go", 3, 1), ("unchanged", "b", "x.go", 1, 1)], "bucket string, id string, file string, start_line long, start_column long").withColumns({"baseline_verdict": F.lit(None).cast("string"), "current_verdict": F.lit("SURVIVED")})
+    got = json.loads(report.comparison_json(compared, {"comparable": True}))
+    assert got["unchanged"] == 1 and [r["id"] for r in got["new_survivors"]] == ["a"] and got["still_open"] == []
+    assert "new survivors: 1" in "".join(report.comparison_html(compared, header={"team": "<t>"}))
+
+
+def test_writers_stop_at_a_failure(tmp_path):
+    def fail(text):
+        raise OSError("full")
+
+    w = report.Sticky(fail)
+    w("a"), w("b")
+    assert str(w.error) == "full" and w.characters == 0 and report.progress_line(1, 2, {"verdict": "KILLED", "id": "M", "file": "f", "start_line": 3}) == "[1/2] KILLED M f:3"
+    path = f"{tmp_path}/deep/journal"
+    history.append_journal(path, time="t", reason="interrupted", patterns=["p"], completed=1, retained=2)
+    assert json.loads(open(path).read())["complete"] is False
+    assert json.loads(config.effective_settings({**config.DEFAULTS, "workers": 3}))["workers"] == 3

@@ -39,4 +39,4 @@ def test_comparison_rendering(spark):
     assert list(report.comparison_text(df, shifts)) == ["new_survivors:", "  a f.go:3 KILLED -> SURVIVED (likely moved from line 1)", "removed_mutants:", "  b f.go:1 SURVIVED -> - (likely moved to line 3)", "unchanged: 1"]
     assert '"fixed_survivors": []' in report.comparison_json(df, {"comparable": True}) and report.exit_code(50.0, 4, 60.0) == 10 and report.exit_code(0.0, 0, 60.0) == 0
     page = "".join(report.comparison_html(df, shifts))
-    assert "<h2>new_survivors</h2>" in page and "likely moved" in page
+    assert "<h2>new survivors</h2>" in page and "likely moved" in page

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +27,19 @@ def results(rows: DataFrame, *, description: str = "description", verdict: str =
     return rows.where(actionable(F.col(verdict))).withColumns({"level": level(F.col(verdict)), "message": message(F.col(verdict), F.col(description))})
 
 
+def sarif_pieces(rows: DataFrame, *, tool: str, version: str) -> Iterator[str]:
+    """A SARIF 2.1.0 document piece by piece; findings come in the order of ``seq``, one at a time."""
+    known = [{"id": r["rule_id"], "shortDescription": {"text": r["description"]}} for r in rules(rows).orderBy("rule_id").collect()]
+    driver = json.dumps({"name": tool, "version": version, "rules": known}, indent=2)
+    yield f'{{\n"$schema": "https://json.schemastore.org/sarif-2.1.0.json",\n"version": "2.1.0",\n"runs": [{{"tool": {{"driver": {driver}}},\n"results": ['
+    for i, r in enumerate(results(rows).orderBy("seq").toLocalIterator()):
+        place = {"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["start_line"]}}}
+        yield (",\n" if i else "\n") + json.dumps({"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": [place]})
+    yield "\n]}]\n}\n"
+
+
 def sarif(rows: DataFrame, *, tool: str, version: str) -> str:
-    """A SARIF 2.1.0 document; findings come in the order of ``seq`` and are streamed to the driver, which writes the file."""
-    known = [r.asDict() for r in rules(rows).orderBy("rule_id").collect()]
-    found = [
-        {"ruleId": r["rule_id"], "level": r["level"], "message": {"text": r["message"]}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"]}, "region": {"startLine": r["start_line"]}}}]}
-        for r in results(rows).orderBy("seq").toLocalIterator()
-    ]
-    driver = {"name": tool, "version": version, "rules": [{"id": r["rule_id"], "shortDescription": {"text": r["description"]}} for r in known]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": found}]}, indent=2)
+    return "".join(sarif_pieces(rows, tool=tool, version=version))
 
 
 def annotations(rows: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def append_entry(path: str, entry: dict) -> None:
         f.write(json.dumps(entry, ensure_ascii=False) + "\n")
 
 
+def append_journal(path: str, *, time: str, reason: str, patterns: list[str], completed: int, retained: int) -> None:
+    """A line for a run that was interrupted; the folder is made if it is not there."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    append_entry(path, {"time": time, "reason": reason, "patterns": patterns, "completed_mutants": completed, "retained_after_bound": retained, "complete": completed == retained})
+
+
 def trend_lines(history: DataFrame) -> DataFrame:
     """``history`` with ``line``: the label padded to the longest (in bytes), two spaces, the score with one decimal."""
     widest = history.agg(F.max(F.octet_length("label")).alias("w")).scalar()

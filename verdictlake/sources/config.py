@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from pathlib import Path
 
@@ -115,6 +116,12 @@ def check_settings(s: dict) -> None:
             raise BadSettings(problem)
 
 
+def effective_settings(s: dict) -> str:
+    """The settings in force as JSON, all keys in order of their names."""
+    check_settings(s)
+    return json.dumps(DEFAULTS | s, indent=2, sort_keys=True, ensure_ascii=False)
+
+
 def find_settings(start: str, names: tuple[str, ...], stop: str = "go.mod") -> dict:
     """The first of ``names`` on the way up to the folder that holds ``stop``; the defaults without one."""
     at = Path(start).resolve()
