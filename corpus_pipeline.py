@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; what it writes is read again as the next one's documents.
+
+Defined cases, for every stage: empty tables give empty tables; only the columns of
+documents are read and all stages but the last return them, so that others may have
+any name; rows are judged one by one, so that repeated rows stay repeated rows (near
+copies are judged by id, and rows that share one are one document); texts are read
+whole whatever their length. A null or empty text has no language and goes in the
+first stage; the others keep it as it is, and packing gives it the end id alone. A
+null id keeps its row. Of near copies the smallest id stays.
 """
 
 from __future__ import annotations
