@@ -199,7 +199,21 @@ def test_pipeline(spark):
 
 def test_pipeline_stages_of_odd_rows(spark, sf):
     rows = [(1, "", "en", "s", 0), (2, None, None, None, None), (3, "one two three four five six", "en", "s", 5), (3, "one two three four five six", "en", "s", 5), (None, "x", "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"kept": F.lit(1), "__x": F.lit(2)})
-    for _, step in corpus_pipeline.STAGES:
-        assert step(spark, docs, sf).count() >= 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"kept": F.lit(1), "__vl_terms": F.lit(2)})
+    all_ids = [None, 1, 2, 3, 3]
+    want = {"language_id": [None, 3, 3], "line_dedup": all_ids, "near_dedup": all_ids, "personal_data": all_ids, "packing": all_ids}
+    for name, step in corpus_pipeline.STAGES:
+        got = step(spark, docs, sf).collect()
+        assert sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i)) == want[name], name
+        if name != "packing":
+            assert {(r["doc_id"], r["text"]) for r in got} <= {r[:2] for r in rows} and set(got[0].asDict()) == set(corpus_pipeline.COLUMNS)
         assert step(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_on_long_copies_and_ties(spark, sf):
+    """Two near copies of a very long text and two of a short one: the smaller id of each stays; all lines of one site stay."""
+    words = [f"w{i * i % 9973}x" for i in range(30_000)]
+    rows = [(9, " ".join(words)), (4, " ".join([*words[:-1], "other"])), (7, "a b c d e f g h i j"), (2, "a b c d e f g h i j")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, sf).collect()) == [2, 4]
+    assert corpus_pipeline.line_deduplication(spark, docs, sf).count() == 4

@@ -80,6 +80,16 @@ def test_chains_of_near_copies(spark):
     assert 1 in sizes.values() and max(sizes.values()) > 20
 
 
+def test_many_near_copies_of_one_long_text(spark):
+    """One hub with 300 partners, and strays that are near to it but not near enough."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 4000)]
+    copy = lambda n: " ".join(w if i >= n else f"x{rng.integers(10**9)}" for i, w in enumerate(base))
+    rows = [(i, copy(3)) for i in range(300)] + [(1000 + i, copy(900)) for i in range(3)] + [(2000, "quite another text")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 + i for i in range(3)}, 2000: 2000}
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
@@ -255,6 +265,8 @@ def test_line_dedup_of_odd_rows(odd):
     assert rows.columns[: len(odd.columns)] == odd.columns
     got = rows.collect()
     assert len(got) == len(ODD) and {r["doc_id"]: r["text"] for r in got}[2] is None
+    again = line_dedup.dedup_lines(rows, min_sites=2)
+    assert again.columns == rows.columns and again.count() == len(ODD)
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 

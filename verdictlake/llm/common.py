@@ -42,6 +42,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_helpers(df: DataFrame) -> DataFrame:
+    """``df`` without columns whose names begin with ``__vl_``, which are reserved for what operators add."""
+    return df.drop(*(c for c in df.columns if c.startswith("__vl_")))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -10,7 +10,8 @@ Defined cases: a null text stays null and has no lines; lines of white space
 only are never boilerplate; a null site counts as one site of its own; rows
 repeated with the same id and text are treated alike; documents with the same
 id but different texts are kept apart by a hash of the text; an empty table
-gives an empty result; other columns pass through untouched.
+gives an empty result; other columns pass through untouched, but those named ``__vl_*``
+are reserved and dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, without_helpers
 
 MIN_SITES = 6
 LG_K = 8
@@ -65,6 +66,7 @@ def without_positions(text: Column, removed: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """``docs`` with the boilerplate lines removed, and the columns ``__vl_n_lines`` (lines with a word) and ``__vl_n_removed``."""
+    docs = without_helpers(docs)
     held = stage(boilerplate_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, lg_k=lg_k), "boilerplate")
     lines = _exploded(docs, id_col, text_col, site_col)
     first = F.struct(F.col("id"), F.col("th"), F.col("pos"))

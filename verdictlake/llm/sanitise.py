@@ -16,7 +16,8 @@ runs of letters or digits take linear time.
 
 Defined cases: a null text counts as empty and has no spans (``sanitise`` leaves
 it null); rows with the same id share the terms found in any of them; a null id
-gets base spans only; an empty table gives an empty result; other columns pass through ``sanitise`` untouched.
+gets base spans only; an empty table gives an empty result; other columns pass
+through ``sanitise`` untouched, but those named ``__vl_*`` are reserved and dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, without_helpers
 
 KINDS = ("email", "ip", "card", "phone", "term")
 BASE = KINDS[:4]
@@ -174,6 +175,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with entities generalised to ``<EMAIL>``, ``<IP>``, ``<CARD>``, ``<PHONE>`` and revealing terms removed (``<TERM>``). Of overlapping spans the first by start gives the tag and the text up to the end of the last goes."""
+    docs = without_helpers(docs)
     rows = _with_spans(docs, id_col, text_col, min_contexts, disclosure)
     text = F.col(text_col)
     spans = F.sort_array(F.concat("__vl_base", "__vl_terms"))
