@@ -9,8 +9,10 @@ from ..functions import text as X
 from ..operators import assemble, compare, discards, identity, select, spool, trees, verdicts
 from ..sinks import findings
 from ..sources import coverage_profile, lines, reports
+from ..streaming.summary import classify_live, run_to_end
 from . import analogues as A
 from .analogues import table
+from .records import SQL as RECORDS_SQL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -381,3 +383,15 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .records import Q as RECORDS
 
     return RECORDS["evidence_budget"](spark, sf_dir)
+
+
+@query(RECORDS_SQL["classify_stream"].replace("user_id::VARCHAR || '/' || strftime(ts, '%d')", "user_id::VARCHAR"))
+def live_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each user's events as one live stream, by state kept between batches; every batch of a stream says that it may end."""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    i = F.col("event_id")
+    test = F.when(F.col("event_type") == "click", "").otherwise(_text("t", _s(i % 4)))
+    row = lambda action: F.struct(_s("user_id").alias("stream_id"), i.alias("seq"), _text("p", _s(i % 3)).alias("Package"), test.alias("Test"), action.alias("Action"), (i % 2 == 0).alias("broken"), (F.col("value") < 2).alias("lost"))
+    events = stream.select(F.explode(F.array(row(A.mapped(F.col("event_type"), A.ACTION_OF)), row(F.lit("end")))).alias("e")).select("e.*")
+    return run_to_end(classify_live(events))

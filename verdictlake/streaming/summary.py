@@ -15,11 +15,15 @@ from ..operators.verdicts import summarize
 
 def summarize_stream(results: DataFrame, *, verdict: str = "verdict") -> DataFrame:
     """The summary of all that a finite stream holds now, by incremental aggregation to completion."""
-    spark = results.sparkSession
-    name = f"summary_{uuid.uuid4().hex}"
-    running = summarize(results, verdict=verdict, with_text=False).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    return run_to_end(summarize(results, verdict=verdict, with_text=False), "complete")
+
+
+def run_to_end(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """What a finite stream gives, kept in memory."""
+    name = f"stream_{uuid.uuid4().hex}"
+    running = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name)
+    return rows.sparkSession.table(name)
 
 
 STATE = "failed array<string>, started array<string>, ran array<string>, broken array<string>, lost boolean, seq long"
