@@ -120,7 +120,9 @@ def nearest_neighbours(
     posted = stage(_posted(base, pivots, top, "ids array<bigint>"), "posted")
     wanted = stage(_posted(asked, pivots, max(top, read), "id bigint"), "asked")
     files = lambda rows, m: rows.select(F.explode(F.slice("perm", 1, m)).alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n"))
-    blocks = lambda m: F.ceil(F.col(m) / {"n": FILE_BLOCK, "q": QUERY_BLOCK}[m]).cast("int")
+    # blocks of some times the mean file, so that a common pivot's file is shared out before it is large
+    held_at_once = min(FILE_BLOCK, max(512, 4 * n * files_of // max(1, len(sample))))
+    blocks = lambda m: F.ceil(F.col(m) / {"n": held_at_once, "q": QUERY_BLOCK}[m]).cast("int")
     rooms = stage(files(posted, files_of).join(files(wanted, read).withColumnRenamed("n", "q"), "pivot").select("pivot", blocks("n").alias("held"), blocks("q").alias("met")), "files")
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
