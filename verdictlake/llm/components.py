@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from .common import stage
 
 MAX_ROUNDS = 60
+#: Rounds are many and small: a task takes so many edges where there are fewer than for all partitions.
+TASK_EDGES = 200_000
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def _star(pairs: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Edges (u, v): neighbours of each node above it (large) or below it (small) linked to the node's least neighbour."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m")), "least")
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m")).coalesce(tasks), "least")
     joined = both.join(least, F.col("u") == F.col("_u"))
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-    return stage(out.where(F.col("u") != F.col("v")).distinct(), "star")
+    return stage(out.where(F.col("u") != F.col("v")).distinct().coalesce(tasks), "star")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -39,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
-        edges = _star(_star(edges, True), False)
+        tasks = -(-before[0] // TASK_EDGES)
+        edges = _star(_star(edges, True, tasks), False, tasks)
         now = _mark(edges)
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
