@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHash, as_bytes, bound_batches, mix64, small_batches, stage, tidy
+from .common import WordHash, as_bytes, bound_batches, mix64, partitions, small_batches, stage, tidy
 from .components import connected_components
 
 REGISTERS = 128
@@ -213,6 +213,8 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
         first = cut[:-1]
         return pa.table({"x": pa.array(ids[x[first]], id_type), "p": pa.array(p[y[first]], id_type), "pb": pa.array(pb[y[first]], pa.int32()), "ys": lists(ids[y]), "cs": lists(c[y])})
 
+    # comparing takes long for the bytes it reads, by which Spark would put all blocks into few tasks
+    dealt = dealt.repartition(partitions(rows.sparkSession), "band", "key", "b0", "b1")
     return dealt.groupBy("band", "key", "b0", "b1").applyInArrow(run, f"x {kind}, p {kind}, pb int, ys array<{kind}>, cs array<{kind}>")
 
 
