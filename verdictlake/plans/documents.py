@@ -108,7 +108,10 @@ _EXPECTED = """
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(F.replace(F.lit(_SOURCE), F.lit("{n}"), _s("p_size")), F.lit("{k}"), _s("p_partkey"))
-    return table(spark, sf_dir, "part").select(_text(_s("p_partkey"), ".go").alias("file"), body.alias("source"), "p_partkey", "p_size")
+    from ..functions.discover import spread
+
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))  # before the sources are made, as these are longer
+    return parts.select(_text(_s("p_partkey"), ".go").alias("file"), body.alias("source"), "p_partkey", "p_size")
 
 
 @query(f"""WITH m(rule_id, n, o, r) AS (VALUES {_EXPECTED}), f AS (SELECT p_partkey || '.go' AS file, rule_id, n AS start_line, o, r, p_size FROM part, m)
@@ -118,7 +121,7 @@ def discover_every_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source that every rule and guard has a part in: locks, logs, loops that a change could keep from ending, goroutines and constants are left alone."""
     from ..functions.discover import FAMILIES, discover
 
-    return discover(_sources(spark, sf_dir), families=FAMILIES).select("file", "rule_id", "start_line", "original", "replacement", "equivalent_reason")
+    return discover(_sources(spark, sf_dir), families=FAMILIES, columns=("file", "rule_id", "start_line", "original", "replacement", "equivalent_reason"))
 
 
 @query("""SELECT c_custkey || '.go' AS file, c_custkey % 4 AS kind, CASE c_custkey % 4 WHEN 0 THEN 'if a > 1 { b() }' WHEN 2 THEN 'f(x)' ELSE '' END AS found FROM customer""")
@@ -131,7 +134,7 @@ def discover_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, "func f(a int) {\n\tif a > 1 { b() }\n}\n").when(k == 1, "func f(a int) {\nagain:\n\tif a > 1 { goto again }\n}\n").when(k == 2, "func f(x int) {\n\tif x > 1 {\n\t\tf(x)\n\t}\n}\n").otherwise("func f(true int) int {\n\treturn true\n}\n")
     )
     sources = table(spark, sf_dir, "customer").select(_text(_s("c_custkey"), ".go").alias("file"), _text("package p\n", body).alias("source"), k.alias("kind"))
-    found = discover(sources, families=("condition", "statement", "boolean")).groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("rule_id")), ",").alias("rules"))
+    found = discover(sources, families=("condition", "statement", "boolean"), columns=("file", "rule_id")).groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("rule_id")), ",").alias("rules"))
     said = F.when(F.col("rules") == "COND-NEGATE,STMT-DELETE-CALL", "if a > 1 { b() }").when(F.col("rules") == "STMT-DELETE-CALL", "f(x)").otherwise(F.coalesce("rules", F.lit("")))
     return sources.select("file", "kind").join(found, "file", "left").select("file", "kind", said.alias("found"))
 

@@ -224,4 +224,4 @@ def discover_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.concat(F.lit("package p\nfunc f(a, b int) bool { // "), "p_name", F.lit("\n\tif a < "), F.col("p_size").cast("string"), F.lit(" {\n\t\treturn true\n\t}\n\treturn g(a + b)\n}\n"))
     sources = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("file"), body.alias("source"))
-    return discover(sources, families=("boundary", "boolean", "arithmetic")).select("file", "rule_id", "start_line", "original", "replacement")
+    return discover(sources, families=("boundary", "boolean", "arithmetic"), columns=("file", "rule_id", "start_line", "original", "replacement"))
