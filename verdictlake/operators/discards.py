@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import structure
+from ..functions.batches import bound_batches
 from ..functions.discover import _Source, spread
 
 _LINKNAME = re.compile(rb"(?m)^[ \t]*//go:linkname[ \t]+(\S+)(?:[ \t]+(\S+))?")
@@ -64,6 +65,7 @@ def mentions(sources: DataFrame, *, package: str = "package", source: str = "sou
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], ["package", "name", "discarded", "linked"])
 
     rows = sources.select(F.col(package).cast("string").alias("package"), F.encode(F.col(source), "UTF-8").alias("source"))
+    bound_batches(rows.sparkSession)
     return spread(rows).mapInArrow(run, "package string, name string, discarded boolean, linked boolean")
 
 

@@ -175,9 +175,7 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.to_json(report)
     text = F.when(k == 1, F.regexp_replace(text, r'"killed":(\d+)', r'"killed":$1.0')).otherwise(text)
     parsed = reports.parse_reports(grouped.select(_s("user_id").alias("path"), text.alias("text")), "v")
-    bad = parsed.where(F.col("error").isNotNull()).select("path", *(F.lit(None).cast(t).alias(c) for c, t in (("ordinal", "bigint"), ("id", "string"), ("file", "string"), ("start_line", "bigint"), ("verdict", "string"))), "error")
-    good = reports.results_of(parsed.where(F.col("error").isNull())).select("path", "ordinal", "id", "file", "start_line", "verdict", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(bad)
+    return reports.results_of(parsed, "error").select("path", "ordinal", "id", "file", "start_line", "verdict", "error")
 
 
 @query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no, o_orderkey % 9 <> 0 AS ok, CASE WHEN o_orderkey % 9 <> 0 THEN 'run ' || o_orderkey END AS label,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import bound_batches
 from ..functions.diffs import apply_unified, unified_diff
 from ..operators import events as E
 from ..operators import select, verdicts
@@ -214,6 +215,7 @@ def unified_diff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(hashlib.md5(apply_unified(raw, unified_diff("t.go", raw, len(raw), len(raw), b"!"))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["conv_id", "turn", "after"])
 
+    bound_batches(spark)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInArrow(run, "conv_id long, turn long, after string")
 
 

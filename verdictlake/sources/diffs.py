@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import bound_batches
 from ..functions.diffs import BadDiff, changed_lines
 
 
@@ -24,4 +25,5 @@ def parse_diffs(diffs: DataFrame, *, key: str = "id", text: str = "diff") -> Dat
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], [key, "file", "line", "error"])
 
+    bound_batches(diffs.sparkSession)
     return diffs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, file string, line long, error string")

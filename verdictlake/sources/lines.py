@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.batches import bound_batches
 
 MAX_HISTORY_LINE = 1 << 20
 MAX_EVENT_LINE = 256 << 10
@@ -75,6 +76,7 @@ def parse_packages(files: DataFrame, *, key: str = "path", text: str = "text") -
                     keys.append(k), rows.append(json.dumps(x))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(rows, pa.string())], ["path", "json"])
 
+    bound_batches(files.sparkSession)
     rows = files.select(F.col(key).alias("path"), F.col(text).alias("text")).mapInArrow(run, "path string, json string")
     return rows.select("path", F.from_json("json", schemas.PACKAGE).alias("p")).select("path", "p.*")
 
